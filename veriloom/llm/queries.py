@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import bpe, minhash
+from veriloom.llm import bpe, langid, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, vocabulary_path(), ids=False, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -29,6 +33,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_string_kernel_language": op2_string_kernel_language,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op10_minhash_bayes": op10_minhash_bayes,
 }
