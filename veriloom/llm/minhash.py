@@ -154,7 +154,7 @@ def _verify_task(ids, sides, keys, sigs, sets, bands: int, step: int, percent: i
         return x
 
     links = []
-    two = len(set(sides)) == 2
+    two = sides[0] != 2
     keys, sigs = np.stack(keys), np.stack(sigs)
     limits = least_matches(sigs.shape[1], step, percent / 100, miss)
     lengths = np.array([len(s) for s in sets])
@@ -212,10 +212,10 @@ def _verify(bands: int, step: int, percent: int, miss: float):
 
 
 def _cells(rep: Column, blocks: Column) -> Column:
-    """All cells (pair of blocks) that a member's own block takes part in, with the side it stands on."""
+    """All cells (pair of blocks) that a member's own block takes part in, with the side it stands on: 0 or 1, or 2 where a block meets itself."""
     own = F.pmod(F.xxhash64(rep), blocks)
     other = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    return F.transform(other, lambda b: F.struct((F.least(own, b) * blocks + F.greatest(own, b)).alias("cell"), F.when(own <= b, 0).otherwise(1).alias("side")))
+    return F.transform(other, lambda b: F.struct((F.least(own, b) * blocks + F.greatest(own, b)).alias("cell"), F.when(own == b, 2).when(own < b, 0).otherwise(1).alias("side")))
 
 
 def near_duplicates(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import bpe, decontaminate, langid, minhash
+from veriloom.llm import bpe, decontaminate, langid, linededup, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary_path(), ids=False, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_string_kernel_language": op2_string_kernel_language,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op6_segment_edit_join": op6_segment_edit_join,
     "op9_simhash_windows": op9_simhash_windows,
     "op10_minhash_bayes": op10_minhash_bayes,
 }
