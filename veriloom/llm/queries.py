@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import bpe, decontaminate, langid, linededup, minhash
+from veriloom.llm import bpe, covertree, decontaminate, langid, linededup, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op6_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = covertree.integers(_table(spark, sf_dir, "embeddings"))
+    return covertree.top_k(own, own.filter("vec_id % 100 = 0"))
+
+
 def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -44,8 +49,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_string_kernel_language": op2_string_kernel_language,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op6_segment_edit_join": op6_segment_edit_join,
+    "op8_dual_tree_topk": op8_dual_tree_topk,
     "op9_simhash_windows": op9_simhash_windows,
     "op10_minhash_bayes": op10_minhash_bayes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_dual_tree_topk": """
+        WITH e AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+          FROM e q JOIN e d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
