@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import bpe, covertree, decontaminate, langid, linededup, minhash
+from veriloom.llm import bpe, covertree, decontaminate, langid, linededup, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary_path(), ids=False, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.fit(docs, labels, metadata=("n_chars",)), metadata=("n_chars",))
+
+
 def op6_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_string_kernel_language": op2_string_kernel_language,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_factorisation_quality": op4_factorisation_quality,
     "op6_segment_edit_join": op6_segment_edit_join,
     "op8_dual_tree_topk": op8_dual_tree_topk,
     "op9_simhash_windows": op9_simhash_windows,
