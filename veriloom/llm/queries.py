@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import bpe, covertree, decontaminate, langid, linededup, minhash, quality
+from veriloom.llm import bpe, covertree, decontaminate, langid, linededup, minhash, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+
+
 def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_string_kernel_language": op2_string_kernel_language,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_factorisation_quality": op4_factorisation_quality,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_derivatives": warc.oracle(),
     "op8_dual_tree_topk": """
         WITH e AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v
