@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import bpe, covertree, decontaminate, langid, linededup, minhash, quality, warc
+from veriloom.llm import bpe, covertree, decontaminate, langid, licenses, linededup, minhash, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels, metadata=("n_chars",)), metadata=("n_chars",))
 
 
+def op5_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_files(_table(spark, sf_dir, "documents")), keys=("doc_id",))
+
+
 def op6_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_string_kernel_language": op2_string_kernel_language,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_factorisation_quality": op4_factorisation_quality,
+    "op5_licence_inheritance": op5_licence_inheritance,
     "op6_segment_edit_join": op6_segment_edit_join,
     "op8_dual_tree_topk": op8_dual_tree_topk,
     "op9_simhash_windows": op9_simhash_windows,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_derivatives": warc.oracle(),
+    "op5_licence_inheritance": licenses.oracle(),
     "op8_dual_tree_topk": """
         WITH e AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v
