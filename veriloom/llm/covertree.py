@@ -1,5 +1,8 @@
 """Exact top-k search by largest inner product with two cover trees.
 
+A node stays a leaf if it is small, or if it would fall apart into children of
+fewer than ``CROWD`` vectors on average, as vectors without clusters do.
+
 Vectors become integers, ``floor(scale * x)``. Queries and data are both kept
 in cover trees: a node has a centre, children whose centres lie within its
 level's radius and apart from one another by more than the next level's, and
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.workspace import Workspace, bounded_batches
 
-LEAF, BLOCK, QUERY_BLOCK, SHARDS = 32, 4096, 16_384, 256
+LEAF, CROWD, BLOCK, QUERY_BLOCK, SHARDS = 32, 8, 4096, 16_384, 256
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -54,6 +57,8 @@ def build(x: np.ndarray) -> Node:
         children.append(grow(at[near], centre, away[near]))
         rest = at[~near]
         while len(rest):
+            if len(children) > max(8, len(at) // CROWD):  # no clusters at this scale: one matrix product beats many nodes
+                return Node(x[centre], radius, at, [])
             own = int(rest[0])
             d = far(rest, own)
             near = d <= half
@@ -102,15 +107,22 @@ class Search:
     def _leaf(self, qs: np.ndarray, ds: np.ndarray, ids: np.ndarray, data: np.ndarray, small: bool) -> None:
         s = np.rint(self.x[qs] @ data[ds].T).astype(np.int64) if small else self.exact[qs] @ data[ds].T
         s = np.where(ids[ds][None, :] == self.ids[qs][:, None], _LOWEST, s)
-        some = (s >= self.score[qs, -1:]).any(axis=1)
-        if not some.any():
+        least = self.score[qs, -1]
+        if s.shape[1] > self.k:  # what is below the k best of this leaf can't count
+            least = np.maximum(least, np.partition(s, -self.k, axis=1)[:, -self.k])
+        row, col = np.nonzero((s >= least[:, None]) & (s != _LOWEST))
+        if not len(row):
             return
-        qs, s = qs[some], s[some]
-        scores = np.concatenate((self.score[qs], s), axis=1)
-        names = np.concatenate((self.found[qs], np.broadcast_to(ids[ds], s.shape)), axis=1)
-        names = np.where(scores == _LOWEST, np.iinfo(np.int64).max, names)
-        order = np.lexsort((names, ~scores), axis=1)[:, : self.k]  # ~ reverses the order and can't overflow
-        self.score[qs], self.found[qs] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+        hit = np.unique(row)
+        old_row, old_col = np.nonzero(self.score[qs[hit]] != _LOWEST)
+        rows = np.concatenate((row, hit[old_row]))
+        scores = np.concatenate((s[row, col], self.score[qs[hit]][old_row, old_col]))
+        names = np.concatenate((ids[ds][col], self.found[qs[hit]][old_row, old_col]))
+        order = np.lexsort((names, ~scores, rows))  # ~ reverses the order and can't overflow
+        rows, scores, names = rows[order], scores[order], names[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < self.k
+        self.score[qs[rows[keep]], place[keep]], self.found[qs[rows[keep]], place[keep]] = scores[keep], names[keep]
 
     def rows(self) -> pa.RecordBatch:
         row, col = np.nonzero(self.score != _LOWEST)
