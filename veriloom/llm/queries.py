@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import bpe, covertree, decontaminate, langid, licenses, linededup, minhash, quality, warc
+from veriloom.llm import bpe, covertree, decontaminate, langid, licenses, linededup, minhash, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_candidate_boosting_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = covertree.integers(_table(spark, sf_dir, "embeddings"))
     return covertree.top_k(own, own.filter("vec_id % 100 = 0"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_factorisation_quality": op4_factorisation_quality,
     "op5_licence_inheritance": op5_licence_inheritance,
     "op6_segment_edit_join": op6_segment_edit_join,
+    "op7_candidate_boosting_pii": op7_candidate_boosting_pii,
     "op8_dual_tree_topk": op8_dual_tree_topk,
     "op9_simhash_windows": op9_simhash_windows,
     "op10_minhash_bayes": op10_minhash_bayes,
