@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from veriloom.llm.workspace import bounded_batches
 
 #: Words remembered in each of two generations of a worker's cache; speed only, never results.
-WORDS_AT_MOST = 300_000
+WORDS_AT_MOST = 100_000
 
 
 def _byte_letters() -> list[str]:
@@ -220,6 +220,10 @@ class _Chunks(dict):
         self.old = dict(self)
         self.clear()
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
     def __missing__(self, chunk: str) -> tuple[str, str]:
         got = self.old.get(chunk)
         if got is None:
@@ -262,6 +266,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
 
     def run(batches):
         bpe = loaded(vocabulary)
+        bpe._chunks.forget()  # a worker that is used again starts small
         for batch in batches:
             n, rows, decoded, sha_ids, sha_text = [], [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
@@ -286,6 +291,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
                 out += [pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
                 names += ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(out, names=names)
+        bpe._chunks.forget()
 
     return src.mapInArrow(run, ddl)
 
