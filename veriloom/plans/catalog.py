@@ -1,14 +1,23 @@
-"""Named queries over the driver tables, each with the SQL that gives the same rows."""
+"""Named queries over the driver tables, each with the SQL that gives the same rows.
+
+Where no table of the driver holds citations, an operator runs over a small
+literal table that is written out in both languages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veriloom.functions import identifiers, latex, similarity, text
+from veriloom.operators import consistency, evidence, judging, references
+from veriloom.sources import bibtex, records, store
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SPACE = "[ \\t\\n\\r\\f\\v]+"
 
 
 def query(name: str, sql: str | None = None):
@@ -27,10 +36,346 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values(rows: list[tuple]) -> str:
+    """The rows of a literal table as SQL."""
+
+    def one(v) -> str:
+        if v is None:
+            return "NULL"
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+# --- text -----------------------------------------------------------------------------------------------------------------
+
+
+@query("usable_documents", f"SELECT doc_id, length(t) AS n FROM (SELECT doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS t FROM documents) WHERE length(t) BETWEEN 50 AND 7000")
+def usable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.usable(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("n")).filter("n is not null")
+
+
+@query("cleaned_documents", f"SELECT doc_id, md5(trim(regexp_replace(text, '{SPACE}', ' ', 'g'))) AS digest FROM documents")
+def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-02 over whole documents; they hold no markup or compatibility letters, so only white space changes."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text("text").cast("binary")).alias("digest"))
+
+
+@query("folded_documents", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(regexp_replace(text, '[{}\\\\''\"–—-]', '', 'g'))), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS digest FROM documents")
+def folded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_text("text").cast("binary")).alias("digest"))
+
+
+@query("page_titles", f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '{SPACE}', ' ', 'g')) AS title FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(title, r"[ \t\n\r\f\x0B]+", " ")).alias("title"))
+
+
+@query("sentence_counts", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(text, '[.?!]\\s+'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n FROM documents")
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.filter(F.transform(F.split("text", r"[.?!]\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("n"))
+
+
+@query("split_sentences")
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-25 on every document; abbreviations and look-ahead have no SQL counterpart, tests hold it against the rules."""
+    paras = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(latex.paragraphs(F.col("text"))).alias("par", "p"))
+    return paras.select("doc_id", "par", F.posexplode(latex.split_sentences("p")).alias("sent", "sentence"))
+
+
+@query("claims_of_documents")
+def claims_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-26 over all documents with a citation set after each first sentence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"^([^.]*)\.", r"$1 \\cite{k1, k2}.").alias("text"))
+    return consistency.claims(docs)
+
+
 @query(
-    "usable_documents",
-    "SELECT doc_id, length(t) AS n FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents) WHERE length(t) BETWEEN 50 AND 7000",
+    "quote_in_document",
+    "SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, lower(text) AS t FROM benchmark) b ON contains(lower(d.text), b.t)",
 )
-def usable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("n")).filter("n between 50 and 7000")
+def quote_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-05: which documents hold a quote word for word. Documents and quotes meet on the rarest five-word run of the quote, then are compared whole."""
+    docs, quotes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    words = lambda c: F.filter(F.split(F.lower(c), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+    q = quotes.select("item_id", F.lower("text").alias("q"), words(F.col("text")).alias("w")).filter("size(w) >= 7")
+    q = q.select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("run"))  # inner words: the first and last may be cut from longer ones
+    d = docs.select("doc_id", F.lower("text").alias("t"), words(F.col("text")).alias("w"))
+    d = d.select("doc_id", "t", F.explode(F.array_intersect(runs(F.col("w"), 5), F.lit([r["run"] for r in q.select("run").distinct().collect()]))).alias("run"))
+    short = quotes.filter(F.size(words(F.col("text"))) < 7).select("item_id", F.lower("text").alias("q"))
+    found = d.join(q, "run").filter(F.contains("t", F.col("q"))).select("doc_id", "item_id")
+    rest = docs.select("doc_id", F.lower("text").alias("t")).join(F.broadcast(short), F.contains("t", F.col("q"))).select("doc_id", "item_id")
+    return found.unionAll(rest).distinct()
+
+
+@query("quote_check")
+def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-05 with all its foldings, each benchmark item against the document of its number."""
+    docs, quotes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    both = docs.join(quotes.withColumnRenamed("text", "quote"), F.col("doc_id") == F.col("item_id"))
+    return both.select("doc_id", text.quote_in_abstract("quote", "text").alias("found"))
+
+
+@query(
+    "inverted_index_roundtrip",
+    f"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> ''), ' ')) AS digest FROM documents WHERE length(text) < 4000",
+)
+def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11: documents turned into word positions, and back."""
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") < 4000)
+    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    index = docs.withColumn("w", words).withColumn("index", F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.filter(F.transform("w", lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull())))))
+    return index.select("doc_id", F.md5(F.coalesce(records.inverted_text(F.col("index")), F.lit("")).cast("binary")).alias("digest"))
+
+
+# --- windows, early stops, latches ----------------------------------------------------------------------------------------
+
+
+@query("preceding_turn", "SELECT conv_id, turn, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS context_before FROM conversations")
+def preceding_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text", 1, "").over(w).alias("context_before"))
+
+
+@query("grouped_order", "SELECT conv_id, turn, role, min(turn) OVER (PARTITION BY conv_id, role) AS group_first FROM conversations")
+def grouped_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("claim_index"), F.col("role").alias("cite_key"))
+    return judging.judging_order(own).select(F.col("doc_id").alias("conv_id"), F.col("claim_index").alias("turn"), F.col("cite_key").alias("role"), "group_first")
+
+
+_RANK = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END"
+
+
+@query("source_priority_pick", f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_RANK}, event_id) AS r FROM events) WHERE r = 1")
+def source_priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-05 as an aggregate: the first answer in source order for each request."""
+    best = F.min_by(F.struct("event_id", "event_type"), F.struct(F.expr(_RANK), "event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(best.alias("b")).select("user_id", "b.event_id", "b.event_type")
+
+
+@query("circuit_breaker", "SELECT event_id, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS locked FROM events")
+def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-06 without a running window: the first failure of each endpoint is an aggregate, later requests are compared with it."""
+    own = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    first = own.filter("event_type = 'error'").groupBy("user_id").agg(F.min("event_id").alias("lock"))
+    return own.join(first, "user_id", "left").select("event_id", F.coalesce(F.col("event_id") > F.col("lock"), F.lit(False)).alias("locked"))
+
+
+@query("first_per_key", "SELECT doc_id, text AS key FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select(F.lit(1).alias("doc_id"), F.col("text").alias("key"), F.col("doc_id").alias("ordinal"))
+    return consistency.first_entries(own.withColumn("first_doc", F.col("ordinal"))).select(F.col("first_doc").alias("doc_id"), "key")
+
+
+@query("duplicate_keys", "SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return own.select(F.md5(F.col("text").cast("binary")).alias("digest"), "n")
+
+
+# --- joins and aggregates -------------------------------------------------------------------------------------------------
+
+
+@query("cited_but_undefined", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def cited_but_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda df: df.select(F.lit(1).alias("doc_id"), F.col("doc_id").alias("key"))
+    cited, defined = key(table(spark, sf_dir, "labels")), key(table(spark, sf_dir, "documents").filter("lang = 'en'"))
+    return consistency.cited_but_undefined(cited, defined).select(F.col("key").alias("doc_id"))
+
+
+@query("defined_but_uncited", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def defined_but_uncited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda df: df.select(F.lit(1).alias("doc_id"), F.col("doc_id").alias("key"))
+    everything = spark.createDataFrame([], "doc_id int")
+    return consistency.defined_but_uncited(key(table(spark, sf_dir, "labels")), key(table(spark, sf_dir, "documents")), everything).select(F.col("key").alias("doc_id"))
+
+
+@query(
+    "consistency_summary",
+    """WITH c AS (SELECT l.doc_id, d.source FROM labels l JOIN documents d USING (doc_id)), u AS (SELECT source, doc_id FROM documents)
+       SELECT u.source, count(*) AS defined, count(c.doc_id) AS cited, count(*) - count(c.doc_id) AS uncited, count(*) = count(c.doc_id) AS consistent
+       FROM u LEFT JOIN (SELECT DISTINCT doc_id FROM c) c USING (doc_id) GROUP BY u.source""",
+)
+def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("source", "doc_id"), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("hit")).distinct()
+    per = docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("defined"), F.count("hit").alias("cited"))
+    return per.select("source", "defined", "cited", (F.col("defined") - F.col("cited")).alias("uncited"), (F.col("defined") == F.col("cited")).alias("consistent"))
+
+
+@query("verdict_rollup", "SELECT quality, bool_or(toxic = 1) AS any_toxic, count(*) FILTER (WHERE toxic = 1) AS n_toxic, count(*) AS n FROM labels GROUP BY quality")
+def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toxic = F.col("toxic") == 1
+    return table(spark, sf_dir, "labels").groupBy("quality").agg(F.bool_or(toxic).alias("any_toxic"), F.count_if(toxic).alias("n_toxic"), F.count(F.lit(1)).alias("n"))
+
+
+@query("status_counts_zero_filled", "SELECT s.status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY s.status")
+def status_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-02: one pass, one conditional count for each value of the enumeration."""
+    known = ("F", "O", "P", "X")
+    one = table(spark, sf_dir, "orders").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s) for s in known])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in known])).alias("x")).select("x.status", "x.n")
+
+
+@query(
+    "reason_concatenation",
+    "SELECT o_custkey, string_agg(o_orderstatus, ' · ' ORDER BY o_orderkey) AS reasons FROM orders GROUP BY o_custkey",
+)
+def reason_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(told.alias("t"))
+    return per.select("o_custkey", F.array_join(F.transform("t", lambda x: x["o_orderstatus"]), references.SEPARATOR).alias("reasons"))
+
+
+@query("no_source_answered", "SELECT user_id, bool_and(event_type = 'error') AS no_source FROM events WHERE event_type <> 'view' GROUP BY user_id")
+def no_source_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookup = F.array(F.struct(F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "SKIPPED").otherwise("FOUND").alias("status")))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), lookup.alias("lookups"))
+    return references.no_source_answered(rows).withColumnRenamed("doc_id", "user_id")
+
+
+@query(
+    "append_if_absent",
+    """WITH s AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)
+       SELECT doc_id, 'old' AS origin FROM s UNION ALL SELECT doc_id, 'new' FROM n WHERE doc_id NOT IN (SELECT doc_id FROM s)""",
+)
+def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06. The two sets are the feature here: rows a store has, and rows that may be added."""
+    key = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doi"), "doc_id")
+    old = key.filter("doc_id % 2 = 0").withColumn("origin", F.lit("old"))
+    new = key.filter("doc_id % 3 = 0").withColumns({"origin": F.lit("new"), "ordinal": F.col("doc_id")})
+    return old.select("doc_id", "origin").unionAll(store.add_new(old, new).select("doc_id", "origin"))
+
+
+@query("event_props", "SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM events")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(tree, "$.page", "string").alias("page"), F.try_variant_get(tree, "$.ref", "string").alias("ref"))
+
+
+@query("title_similarity_topk")
+def title_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-08: for each page title the most similar other title that shares its first two words, at 0.60 or more (a top-1 report)."""
+    own = page_titles(spark, sf_dir).withColumn("block", F.lower(F.substring_index("title", " ", 2)))
+    titles = own.groupBy("title", "block").agg(F.min("page_id").alias("page_id"))
+    other = titles.select(F.col("page_id").alias("other_id"), F.col("title").alias("other_title"), "block")
+    both = titles.join(other, "block").filter("page_id <> other_id")
+    rated = both.withColumn("ratio", similarity.title_similarity("title", "other_title")).filter(F.col("ratio") >= records.TITLE_LEAST)
+    return rated.groupBy("page_id").agg(F.max_by(F.struct("other_id", "ratio"), F.struct("ratio", -F.col("other_id"))).alias("b")).select("page_id", "b.other_id", "b.ratio")
+
+
+# --- identifiers, fields and responses: literal tables --------------------------------------------------------------------
+
+_DOIS = [(1, "10.1/AB"), (2, " https://doi.org/10.1/ab/ "), (3, "doi: 10.2/CD"), (4, "DOI:https://dx.doi.org/10.3/x//"), (5, "doi:"), (6, None)]
+
+
+@query("doi_normalise", f"SELECT i, nullif(regexp_replace(regexp_replace(lower(trim(d)), '^(?:(?:https?://(?:dx\\.)?doi\\.org/|doi\\.org/|doi:)\\s*)+', ''), '/+$', ''), '') AS doi FROM (VALUES {values(_DOIS)}) t(i, d)")
+def doi_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, _DOIS, "i int, d string").select("i", identifiers.normalize_doi(F.col("d")).alias("doi"))
+
+
+_ARXIV = [(1, "2401.01234v2"), (2, "arXiv:2401.01234"), (3, "hep-th/9901001v1"), (4, "math.GT/0309136"), (5, "no"), (6, None)]
+
+
+@query(
+    "arxiv_normalise",
+    f"""SELECT i, coalesce(nullif(regexp_extract(a, '^(\\d{{4}}\\.\\d{{4,5}})(?:v\\d+)?$', 1), ''),
+        nullif(regexp_replace(regexp_extract(a, '^[a-z-]+(?:\\.[a-z-]+)?/\\d{{7}}', 0), '\\.[a-z-]+/', '/'), '')) AS arxiv_id
+        FROM (SELECT i, regexp_replace(lower(trim(v)), '^arxiv:\\s*', '') AS a FROM (VALUES {values(_ARXIV)}) t(i, v))""",
+)
+def arxiv_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, _ARXIV, "i int, v string").select("i", identifiers.normalize_arxiv_id(F.col("v")).alias("arxiv_id"))
+
+
+_FIELDS = [(1, "pages", "10--20", "10-20", True, None), (2, "pages", "10-20", "10", True, None), (3, "pages", "10-20", "11-20", False, "major"), (4, "year", "2020", "2021", False, "minor"), (5, "year", "2020", "2023", False, "major"), (6, "issue", "1", "2", False, "minor"), (7, "volume", "3", "4", False, "major"), (8, "year", "2020", "2020", True, None)]
+
+
+@query(
+    "field_grades",
+    f"""WITH t(i, f, a, b) AS (VALUES {values([r[:4] for r in _FIELDS])}),
+        n AS (SELECT *, regexp_replace(a, '-+', '-', 'g') AS x, regexp_replace(b, '-+', '-', 'g') AS y FROM t),
+        m AS (SELECT *, CASE f WHEN 'pages' THEN split_part(x, '-', 1) = split_part(y, '-', 1) WHEN 'issue' THEN x = y ELSE a = b END AS match FROM n)
+        SELECT i, f AS field_name, match, CASE WHEN match THEN NULL WHEN f = 'issue' THEN 'minor' WHEN f = 'year' AND abs(CAST(a AS INT) - CAST(b AS INT)) <= 1 THEN 'minor' ELSE 'major' END AS severity FROM m""".replace("CAST(a AS INT)", "TRY_CAST(a AS INT)").replace("CAST(b AS INT)", "TRY_CAST(b AS INT)").replace("TRY_TRY_", "TRY_"),
+)
+def field_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-21 to STR-23 and the grading rules on fields that SQL can grade too."""
+    own = literal(spark, [r[:4] for r in _FIELDS], "i int, f string, a string, b string")
+    entry = F.create_map(F.when(F.col("f") == "issue", "number").otherwise(F.col("f")), F.col("a"))
+    names = ("title", "author_names", "year", "journal", "volume", "issue", "pages")
+    record = F.struct(*[(F.lit(None).cast("array<string>") if n == "author_names" else F.when(F.col("f") == n, F.col("b"))).alias(n) for n in names])
+    out = own.select("i", F.explode(similarity.compare_fields(entry, record, F.lit("x"))).alias("c"))
+    return out.select("i", "c.field_name", "c.match", "c.severity")
+
+
+_CODES = [(1, 200, "{}", None), (2, 404, None, None), (3, 401, None, None), (4, 429, None, None), (5, 503, None, None), (6, 204, None, None), (7, 302, "x", None), (8, None, None, "ConnectionError"), (9, 200, " ", None)]
+
+
+@query(
+    "response_status",
+    f"""SELECT i, CASE WHEN e IS NOT NULL THEN 'ERROR' WHEN c = 404 OR c = 204 THEN 'ABSENT' WHEN c IN (401, 403, 429) OR c >= 500 OR c NOT BETWEEN 200 AND 299 THEN 'ERROR' WHEN trim(coalesce(b, '')) = '' THEN 'ABSENT' END AS status,
+        CASE WHEN e IS NOT NULL THEN 'network error (' || e || ')' WHEN c = 404 THEN 'not found' WHEN c = 204 THEN 'empty response' WHEN c IN (401, 403) THEN 'HTTP ' || c || ' (access denied)' WHEN c = 429 THEN 'HTTP 429 (rate limited)'
+          WHEN c >= 500 THEN 'HTTP ' || c || ' (server error)' WHEN c NOT BETWEEN 200 AND 299 THEN 'HTTP ' || c || ' (unexpected response)' WHEN trim(coalesce(b, '')) = '' THEN 'empty response' END AS reason
+        FROM (VALUES {values(_CODES)}) t(i, c, b, e)""",
+)
+def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = literal(spark, _CODES, "i int, c int, b string, e string")
+    v = records.classify(F.col("c"), F.col("b"), F.lit(None).cast("map<string,string>"), F.col("e"), F.lit(True), F.lit(False))
+    return own.select("i", v["status"].alias("status"), v["reason"].alias("reason"))
+
+
+_SECRETS = [(1, "GET https://u:p@h/x failed"), (2, "token=abc and api_key=def"), (3, "see https://h/x?q=1&r=2"), (4, "plain")]
+
+
+@query(
+    "redact_params",
+    f"""SELECT i, regexp_replace(regexp_replace(regexp_replace(s, '(?i)\\b([a-z][a-z0-9+.-]*://)[^/\\s@''"<>]+@', '\\1***@', 'g'),
+        '(?i)\\b([a-z0-9_-]*(?:key|token|secret|password|signature)[a-z0-9_-]*)=([^&\\s''"()<>]+)', '\\1=***', 'g'), '\\?[A-Za-z0-9_.\\[\\]-]+=[^\\s''"()<>]*', '?...', 'g') AS redacted FROM (VALUES {values(_SECRETS)}) t(i, s)""",
+)
+def redact_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, _SECRETS, "i int, s string").select("i", identifiers.redact(F.col("s")).alias("redacted"))
+
+
+_BIB = """@string{jt = "Journal of Tests"}
+@article{doe2020, title = {A study of many things}, author = {Doe, Jane and Roe, Richard}, year = 2020, journal = jt, doi = {https://doi.org/10.1/MATCH}}
+@article{roe2019, title = {Another study}, author = {Roe, R.}, year = {2019}, doi = "10.1/minor"}
+@book{lost, title = {A book that nobody has}, year = 1999}
+@misc{bare, note = {nothing to look up}}
+"""
+_ANSWERS = [
+    ("crossref", "works", "doi:10.1/match", 1, 200, None, '{"message":{"DOI":"10.1/match","title":["A study of many things"],"author":[{"family":"Doe","given":"Jane"},{"family":"Roe","given":"Richard"}],"issued":{"date-parts":[[2020]]},"container-title":["Journal of Tests"],"abstract":"<p>This abstract is long enough to be used, having over fifty letters.</p>"}}', None),
+    ("crossref", "works", "doi:10.1/minor", 2, 200, None, '{"message":{"DOI":"10.1/minor","title":["Another study"],"author":[{"family":"Roe","given":"R."}],"issued":{"date-parts":[[2020]]}}}', None),
+    ("openalex", "search", "title:A book that nobody has|1999", 3, 200, None, '{"results":[]}', None),
+    ("s2", "paper", "doi:10.1/minor", 4, 200, None, '{"title":"Another study","abstract":"The abstract of the other study is also long enough to be of use here.","externalIds":{"DOI":"10.1/minor"}}', None),
+]
+_TEX = "\\begin{document} Things are studied \\cite{doe2020, roe2019}. As shown in \\citet{lost}, books are lost \\cite{gone}. \\end{document}"
+
+
+def _bibliography(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    entries = bibtex.entries(literal(spark, [(1, "refs.bib", 0, _BIB)], "doc_id long, bib_file string, file_no int, text string"))
+    settled = records.settle(literal(spark, _ANSWERS, records.RESPONSES))
+    hits = records.title_results(settled, references.prepared(entries).select(F.col("title_key").alias("request_key"), "title"))
+    return entries, records.parse(settled), hits
+
+
+@query("entry_verdicts", "SELECT * FROM (VALUES ('bare', 'NOT_CHECKED'), ('doe2020', 'MATCH'), ('lost', 'SOURCE_ERROR'), ('roe2019', 'MISMATCH_MINOR')) t(key, status)".replace("SOURCE_ERROR", "NOT_FOUND_IN_ENABLED_SOURCES"))
+def entry_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-05, JOIN-06, JOIN-08 and AGG-01 from BibTeX text and recorded answers."""
+    entries, results, hits = _bibliography(spark)
+    return references.verify(entries, results, hits).select("key", "status")
+
+
+@query("claim_evidence", "SELECT * FROM (VALUES ('doe2020', 'found', 'crossref'), ('roe2019', 'found', 's2'), ('lost', 'absent', NULL), ('gone', 'absent', NULL)) t(key, lookup_status, source)")
+def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-26, JOIN-07 and AGG-08: the abstract of each cited work."""
+    entries, results, hits = _bibliography(spark)
+    claims = consistency.claims(literal(spark, [(1, _TEX)], "doc_id long, text string"))
+    missing = [(s, "-", f"doi:10.1/{d}", 9, 404, None, None, None) for s in ("openalex", "datacite", "springer", "core", "europepmc") for d in ("match", "minor")]
+    more = records.parse(records.settle(literal(spark, missing, records.RESPONSES)))
+    return evidence.find(evidence.works(claims, entries), results.unionByName(more), hits).select("key", "lookup_status", "source")
