@@ -10,6 +10,7 @@ from veriloom.operators import consistency as C
 from veriloom.operators import evidence as E
 from veriloom.operators import judging as J
 from veriloom.operators import references as R
+from veriloom.plans.tables import Tables
 from veriloom.sources import bibtex, records, store, tex
 
 MAIN = r"""\documentclass{article} % \input{ignored}
@@ -128,12 +129,12 @@ RESPONSES = [
 
 @pytest.fixture(scope="module")
 def settled(spark):
-    return records.settle(spark.createDataFrame(RESPONSES, records.RESPONSES)).cache()
+    return Tables(spark, "test").keep(records.settle(spark.createDataFrame(RESPONSES, records.RESPONSES)))
 
 
 @pytest.fixture(scope="module")
-def results(settled):
-    return records.parse(settled).cache()
+def results(spark, settled):
+    return Tables(spark, "test").keep(records.parse(settled))
 
 
 def entry(key, title, doi=None, year="2020", **more):
@@ -154,8 +155,8 @@ def entries(spark):
 
 
 @pytest.fixture(scope="module")
-def title_hits(settled, entries):
-    return records.title_results(settled, R.prepared(entries).select(F.col("title_key").alias("request_key"), "title")).cache()
+def title_hits(spark, settled, entries):
+    return Tables(spark, "test").keep(records.title_results(settled, R.prepared(entries).select(F.col("title_key").alias("request_key"), "title")))
 
 
 def test_classification_and_locks(results):
@@ -235,7 +236,7 @@ def test_evidence(spark, claims, entries, results, title_hits):
 
 def test_judging(spark, claims, entries, results, title_hits):
     withe = J.with_evidence(claims, E.find(E.works(claims, entries), results, title_hits))
-    withe = spark.createDataFrame(withe.collect(), withe.schema)
+    withe = Tables(spark, "test").keep(withe)
     good = json.dumps({"verdict": "SUPPORTED", "evidence_quote": "long enough to be used", "rationale": "r"})
     wrong = json.dumps({"verdict": "SUPPORTED", "evidence_quote": "not in the abstract", "rationale": "r"})
     replies = spark.createDataFrame([(1, 1, 1, good, None, False), (1, 3, 1, "no json", None, False), (1, 3, 2, wrong, None, False), (1, 2, 1, "no", None, False), (1, 4, 1, None, "HTTP 429", False)], "doc_id long, claim_index int, attempt int, reply string, transport_error string, fatal boolean")
