@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.workspace import bounded_batches
+from veriloom.llm.workspace import bounded_batches, tidy
 
 #: Words remembered in each of two generations of a worker's cache; speed only, never results.
 WORDS_AT_MOST = 300_000
@@ -293,7 +293,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(out, names=names)
         bpe._chunks.forget()
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(tidy(run), ddl)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, *, ids_col: str = "token_ids") -> DataFrame:

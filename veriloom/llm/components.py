@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.workspace import Workspace
+from veriloom.llm.workspace import Workspace, tidy
 
 
 def _forest(batches):
@@ -58,7 +58,7 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    e = ws.save(e.mapInArrow(_forest, "u long, v long").distinct(), "forest")
+    e = ws.save(e.mapInArrow(tidy(_forest), "u long, v long").distinct(), "forest")
     last = _signature(e)
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.workspace import Workspace, bounded_batches
+from veriloom.llm.workspace import Workspace, bounded_batches, tidy
 
 LEAF, CROWD, BLOCK, QUERY_BLOCK, SHARDS = 32, 8, 4096, 16_384, 256
 _LOWEST = np.iinfo(np.int64).min
@@ -204,6 +204,6 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, ws: Workspace | None
     dealt = dealt_q.unionAll(dealt_d).select((F.col("b") * shards + F.col("s")).alias("cell"), F.size("v").alias("dims"), "kind", "vec_id", "v")
     n = shards * q_blocks
     dealt = dealt.repartition(n, "cell", "dims").sortWithinPartitions("cell", "dims", "kind")
-    best = ws.save(dealt.mapInArrow(_search(k), "q binary, query_id long, vec_id long, score long"), "best")
+    best = ws.save(dealt.mapInArrow(tidy(_search(k)), "q binary, query_id long, vec_id long, score long"), "best")
     w = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")  # at most SHARDS * k rows each
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

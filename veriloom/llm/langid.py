@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.workspace import bounded_batches
+from veriloom.llm.workspace import bounded_batches, tidy
 
 BINS = 1 << 16
 ORDERS = 3
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     for r in counts:
         rate = F.when(F.col("lang") == r["lang"], min(1.0, 1.25 * per_language / r["count"])).otherwise(rate)
     picked = own.filter((part < rate) & F.col("text").rlike(r"\p{L}")).select(h, "lang", "text")
-    rows = sorted(picked.mapInArrow(_bins, "h long, lang string, bins binary").collect(), key=lambda r: (r["h"], r["lang"], bytes(r["bins"])))
+    rows = sorted(picked.mapInArrow(tidy(_bins), "h long, lang string, bins binary").collect(), key=lambda r: (r["h"], r["lang"], bytes(r["bins"])))
     taken: dict[str, int] = {}
     sets, labels = [], []
     for r in rows:
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
                     names[i], scores[i] = name, s
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
 
-    return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double")
+    return src.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double")
 
 
 def reject_unidentified(docs: DataFrame, least: float = 0.3) -> DataFrame:

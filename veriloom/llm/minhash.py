@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.components import connected_components
 from veriloom.llm.shingles import documents_words, mix64, shingle_set
-from veriloom.llm.workspace import Workspace, bounded_batches
+from veriloom.llm.workspace import Workspace, bounded_batches, tidy
 
 BANDS, ROWS, STEP = 36, 7, 36
 BLOCK_ROWS, BLOCKS_AT_MOST, BLOCK_BYTES = 64, 32, 16_000_000
@@ -85,10 +85,10 @@ def least_matches(n: int, step: int, threshold: float, miss: float) -> tuple[tup
 
 
 def _profile(bands: int, rows: int, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("keys", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
-        seen: dict[bytes, tuple[bytes, bytes]] = {}
+        seen: dict[bytes, tuple[np.ndarray, bytes]] = {}
         for batch in batches:
             rows_out = []
             for doc_id, words in zip(batch.column(0).to_pylist(), documents_words(batch.column(1).to_pylist()), strict=True):
@@ -101,7 +101,7 @@ def _profile(bands: int, rows: int, k: int):
                 got = seen.get(digest)
                 if got is None:
                     sig = signature(sh, bands * rows)
-                    got = band_keys(sig, bands, rows).tobytes(), signature_bytes(sig)
+                    got = band_keys(sig, bands, rows), signature_bytes(sig)
                     if len(seen) < 20_000:
                         seen[digest] = got
                 rows_out.append((doc_id, len(sh), int(fp[0]), int(fp[1]), *got))
@@ -111,15 +111,6 @@ def _profile(bands: int, rows: int, k: int):
     return run
 
 
-def _keys(batches):
-    """(bucket, rep) rows from the packed band keys."""
-    for batch in batches:
-        keys = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
-        if keys:
-            reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps, pa.int64())], names=["bucket", "rep"])
-
-
 def _shingled(k: int):
     """Members with their text: adds the packed shingle set."""
 
@@ -195,11 +186,11 @@ def _verify(bands: int, step: int, percent: int, miss: float):
     def run(batches):
         out: list[tuple[int, int]] = []
         for _, own in _runs(rows(batches), key=lambda r: (r[0], r[1])):
-            own = list({(r[3], r[2], r[4], r[6]): r for r in own}.values())
+            own = list({(r[3], r[2], r[6]): r for r in own}.values())
             if len(own) > 1:
                 ids = [r[3] for r in own]
                 out += _verify_task(
-                    ids, np.array([r[2] for r in own]), [np.frombuffer(r[4], dtype=np.int64) for r in own], [np.frombuffer(r[5], dtype=np.uint8) for r in own],
+                    ids, np.array([r[2] for r in own]), [np.array(r[4], dtype=np.int64) for r in own], [np.frombuffer(r[5], dtype=np.uint8) for r in own],
                     [np.frombuffer(r[6], dtype=np.uint64) for r in own], bands, step, percent, miss,
                 )
             if len(out) >= 10_000:
@@ -241,7 +232,7 @@ def near_duplicates(
     bounded_batches(spark)
     ws = ws or Workspace(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = ws.save(texts.mapInArrow(_profile(bands, rows, k), "doc_id long, n_shingles long, fp1 long, fp2 long, keys binary, sig binary"), "profile")
+    profile = ws.save(texts.mapInArrow(tidy(_profile(bands, rows, k)), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary"), "profile")
 
     known = profile.filter("doc_id is not null and fp1 is not null")
     classes = ws.save(known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")  # a table, so that the join can split a hot class
@@ -250,7 +241,7 @@ def near_duplicates(
     reps = known.select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig").join(members.filter("doc_id = rep").select("rep").distinct(), "rep", "left_semi")
     reps = ws.save(reps.dropDuplicates(["rep", "keys"]), "reps")
 
-    buckets = reps.select("rep", "keys").mapInArrow(_keys, "bucket long, rep long")
+    buckets = reps.select("rep", F.explode("keys").alias("bucket"))
     pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot <> last").select("bucket", "pivot")
     families = connected_components(buckets.join(pivots, "bucket").select("rep", "pivot"), ws)
 
@@ -263,10 +254,10 @@ def near_duplicates(
     sized = table.join(ws.save(sizes.select("family", blocks.alias("blocks")), "sizes"), "family")
 
     wanted = sized.join(texts, sized["rep"] == texts["doc_id"]).select("rep", "family", "blocks", "keys", "sig", "text")
-    sets = wanted.mapInArrow(_shingled(k), "rep long, family long, blocks long, keys binary, sig binary, shingles binary")
+    sets = wanted.mapInArrow(tidy(_shingled(k)), "rep long, family long, blocks long, keys array<long>, sig binary, shingles binary")
     dealt = sets.withColumn("c", F.explode(_cells(F.col("rep"), F.col("blocks")))).select("family", "c.cell", "c.side", "rep", "keys", "sig", "shingles")
     dealt = dealt.repartition("family", "cell").sortWithinPartitions("family", "cell", "rep")
-    links = ws.save(dealt.mapInArrow(_verify(bands, STEP, percent, miss), "a long, b long"), "links")
+    links = ws.save(dealt.mapInArrow(tidy(_verify(bands, STEP, percent, miss)), "a long, b long"), "links")
 
     groups = connected_components(links, ws).withColumnRenamed("node", "rep")
     out = members.join(groups, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
@@ -52,3 +54,19 @@ class Workspace:
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small, so that a Python worker never holds many whole texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def tidy(run):
+    """``run`` for mapInArrow, giving freed memory back to the system when a task ends: idle workers stay small."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # not every C library has it
+
+    return tidied
