@@ -122,7 +122,7 @@ def scan(files: DataFrame, *, keys: tuple[str, ...] = ("path",), ws: Workspace |
     valued = counted.join(idf, "word", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0)))
     norm = valued.groupBy("pid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own_norm"))
     dots = valued.join(F.broadcast(weights.select("template", "licence", "word", "w", "norm")), "word").groupBy("pid", "template", "licence", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    alike = dots.join(norm, "pid").select("pid", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 6).alias("similarity")).filter(F.col("similarity") >= LEAST)
+    alike = dots.join(norm, "pid").select("pid", "licence", (F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")) * 1e6).cast("long") / F.lit(1e6)).alias("similarity")).filter(F.col("similarity") >= LEAST)
     first = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("licence").alias("licence"))).alias("b")  # most similar, then by name
     best = alike.groupBy("pid").agg(first).select("pid", (-F.col("b.s")).alias("similarity"), F.col("b.licence").alias("licence"))
     best = ws.save(best, "passages")
@@ -185,7 +185,7 @@ def oracle() -> str:
       c AS (SELECT pid, word, count(*) AS n FROM (SELECT pid, unnest({split.replace("X", "passage")}) AS word FROM d) GROUP BY pid, word),
       v AS (SELECT pid, c.word, c.n * coalesce(idf, 1.0) AS v FROM c LEFT JOIN iw ON iw.word = c.word),
       pn AS (SELECT pid, sqrt(sum(v * v)) AS own FROM v GROUP BY pid),
-      a AS (SELECT v.pid, licence, round(sum(v.v * w.n * w.idf) / (any_value(tn.norm) * any_value(pn.own)), 6) AS s
+      a AS (SELECT v.pid, licence, CAST(round(sum(v.v * w.n * w.idf) / (any_value(tn.norm) * any_value(pn.own)) * 1e6) AS BIGINT) / CAST(1e6 AS DOUBLE) AS s
         FROM v JOIN w ON w.word = v.word JOIN tn ON tn.template = w.template JOIN pn ON pn.pid = v.pid GROUP BY v.pid, w.template, licence),
       b AS (SELECT doc_id, licence, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, licence) AS r FROM p JOIN d ON d.passage = p.passage JOIN a ON a.pid = d.pid WHERE s >= {LEAST}),
       o AS (SELECT g.doc_id, path, dir, is_file, b.licence, b.s FROM g LEFT JOIN b ON b.doc_id = g.doc_id AND b.r = 1),
