@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import identifiers, latex, similarity, text
 from veriloom.operators import consistency, evidence, judging, references
+from veriloom.plans.tables import Tables
 from veriloom.sources import bibtex, records, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,10 +372,11 @@ _TEX = "\\begin{document} Things are studied \\cite{doe2020, roe2019}. As shown
 
 
 def _bibliography(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    entries = bibtex.entries(literal(spark, [(1, "refs.bib", 0, _BIB)], "doc_id long, bib_file string, file_no int, text string"))
-    settled = records.settle(literal(spark, _ANSWERS, records.RESPONSES))
-    hits = records.title_results(settled, references.prepared(entries).select(F.col("title_key").alias("request_key"), "title"))
-    return entries, records.parse(settled), hits
+    keep = Tables(spark, "bibliography").keep
+    entries = keep(bibtex.entries(literal(spark, [(1, "refs.bib", 0, _BIB)], "doc_id long, bib_file string, file_no int, text string")))
+    settled = keep(records.settle(literal(spark, _ANSWERS, records.RESPONSES)))
+    hits = keep(records.title_results(settled, references.prepared(entries).select(F.col("title_key").alias("request_key"), "title")))
+    return entries, keep(records.parse(settled)), hits
 
 
 @query("entry_verdicts", "SELECT * FROM (VALUES ('bare', 'NOT_CHECKED'), ('doe2020', 'MATCH'), ('lost', 'SOURCE_ERROR'), ('roe2019', 'MISMATCH_MINOR')) t(key, status)".replace("SOURCE_ERROR", "NOT_FOUND_IN_ENABLED_SOURCES"))
@@ -390,5 +392,5 @@ def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, results, hits = _bibliography(spark)
     claims = consistency.claims(literal(spark, [(1, _TEX)], "doc_id long, text string"))
     missing = [(s, "-", f"doi:10.1/{d}", 9, 404, None, None, None) for s in ("openalex", "datacite", "springer", "core", "europepmc") for d in ("match", "minor")]
-    more = records.parse(records.settle(literal(spark, missing, records.RESPONSES)))
+    more = Tables(spark, "bibliography").keep(records.parse(records.settle(literal(spark, missing, records.RESPONSES))))
     return evidence.find(evidence.works(claims, entries), results.unionByName(more), hits).select("key", "lookup_status", "source")
