@@ -54,6 +54,23 @@ def test_random_passages_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
 
 
+def test_reordered_passages_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda n=3000: f"w{rng.randrange(n)}"
+    items = [(i, " ".join(word() for _ in range(60))) for i in range(12)] + [(12, " ".join(word(6) for _ in range(40))), (13, "r " * 30)]
+    docs = []
+    for n in range(56):
+        v = items[n % 14][1].split()
+        cut = rng.randrange(1, len(v))
+        v = v[len(v) // 2 :] + v[: len(v) // 2] if n < 14 else v[cut:] + v[:cut]
+        docs.append((n, " ".join([word() for _ in range(rng.randrange(0, 90))] + v + [word() for _ in range(rng.randrange(0, 90))])))
+    docs += [(100, "r " * 500), (101, " ".join(word(6) for _ in range(900)))]
+    want = brute(docs, items)
+    got = found(spark.createDataFrame([(*x, 1, "") for x in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(n, n) for n in range(12)} <= want.keys()
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
 def test_groups_of_items_give_the_same(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     once = found(docs, items)
