@@ -56,3 +56,23 @@ def test_edges(spark, stage):
     nothing = langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_more_languages_than_64(spark):
+    rng = random.Random(2)
+    rows = []
+    for n in range(80):
+        lexicon = ["".join(chr(0x4E00 + 40 * n + rng.randrange(40)) for _ in range(4)) for _ in range(50)]
+        rows += [(1000 * n + i, " ".join(rng.choices(lexicon, k=30)), f"l{n:02}") for i in range(6 if n < 70 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r.lang for r in docs.filter(~langid.held_out(docs.doc_id)).collect()}
+    assert len(learned) > 70 and set(langid.fit(docs).labels) == learned
+    want = {i: lang for i, _, lang in rows if lang in learned}
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs).collect() if r.doc_id in want} == want
+    assert want.keys() <= {r.doc_id for r in langid.reject_unidentified(docs).collect()}
+
+
+def test_a_small_share_of_the_sample_leaves_no_language_out(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 8)
+    docs = spark.createDataFrame([(i, f"{'abcd'[i % 4] * 3} {i}", "abcd"[i % 4]) for i in range(2000)], "doc_id long, text string, lang string")
+    assert langid.fit(docs).labels == list("abcd")

@@ -22,8 +22,8 @@ from veriloom.llm.workspace import bounded_batches, tidy
 
 BINS = 1 << 16
 ORDERS = 3
-#: At most so many labelled texts a language are learned from, and so many languages (the most frequent).
-PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE, SHARPNESS = 800, 64, 256, 1e-2, 5.0
+#: At most so many labelled texts a language are learned from, and so many in all, which languages share evenly; every language counts.
+PER_LANGUAGE, SAMPLE_ROWS, LANDMARKS, RIDGE, SHARPNESS = 800, 51_200, 256, 1e-2, 5.0
 _PIECE = 1 << 18
 _ROWS = 32
 
@@ -80,7 +80,7 @@ def solve(sets: list[np.ndarray], labels: list[str]) -> Model:
     names = sorted(set(labels))
     n = len(sets)
     size = np.array([max(len(s), 1) for s in sets], dtype=np.float64)
-    m = min(LANDMARKS, n)
+    m = min(max(LANDMARKS, len(names)), n)  # one of each language at least
     by = {c: [i for i in range(n) if labels[i] == c] for c in names}  # landmarks take turns among languages
     order = [by[c][k] for k in range(max(map(len, by.values()))) for c in names if k < len(by[c])]
     marks = np.array(order[:m])
@@ -114,21 +114,22 @@ def _bins(batches):
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from documents with text, letters, a language and an id that isn't held out; None if there is none.
 
-    The sample is bounded: a hash of the id picks about ``per_language`` of
-    each of the ``LANGUAGES`` most frequent languages. What reaches the driver
-    is at most ``2 * BINS`` bytes a text.
+    All languages are learned. The sample of each is bounded: a hash of the id
+    picks about ``per_language``, or an even share of ``SAMPLE_ROWS`` where
+    that is less, and one at least. What reaches the driver is at most
+    ``2 * BINS`` bytes a text.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    own = own.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    own = own.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    counts = own.groupBy("lang").count().collect()
     if not counts:
         return None
+    per_language = min(per_language, max(1, SAMPLE_ROWS // len(counts)))
     h = F.xxhash64(F.col("doc_id").cast("string")).alias("h")
     part = (F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6).alias("part")
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, 1.25 * per_language / r["count"])).otherwise(rate)
-    picked = own.filter((part < rate) & F.col("text").rlike(r"\p{L}")).select(h, "lang", "text")
+    often = max(1.25 * per_language, per_language + 20.0)  # a small share may not come out as none
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, often / r["count"])) for r in counts], "lang string, rate double")
+    picked = own.join(F.broadcast(rates), "lang").filter(part < F.col("rate")).select(h, "lang", "text")
     rows = sorted(picked.mapInArrow(tidy(_bins), "h long, lang string, bins binary").collect(), key=lambda r: (r["h"], r["lang"], bytes(r["bins"])))
     taken: dict[str, int] = {}
     sets, labels = [], []
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
     bounded_batches(spark, 500)
     if model is None:
         model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    shared = spark.sparkContext.broadcast(model)  # BINS x (LANGUAGES + 1) floats at most
+    shared = spark.sparkContext.broadcast(model)  # BINS x (languages + 1) floats
     src = docs.select(F.col(id_col).alias("doc_id"), *[c for c in keep if c != id_col], held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("_text_in"))
     fields = src.schema.fields[:-1]
 
