@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.workspace import bounded_batches, tidy
+from veriloom.llm.workspace import tidy
 
 #: Words remembered in each of two generations of a worker's cache; speed only, never results.
 WORDS_AT_MOST = 300_000
@@ -257,7 +257,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
     are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 500)
     src = docs.select(F.col(id_col).alias("doc_id"), *[c for c in keep if c != id_col], F.col(text_col).cast("string").alias("_text_in"))
     kept = src.columns[:-1]
     fields = [f for f in src.schema.fields[:-1]]
@@ -293,7 +292,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(out, names=names)
         bpe._chunks.forget()
 
-    return src.mapInArrow(tidy(run), ddl)
+    return src.mapInArrow(tidy(run, 500), ddl)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, *, ids_col: str = "token_ids") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.shingles import combine, documents_words, hash_words, mix64
-from veriloom.llm.workspace import bounded_batches, tidy
+from veriloom.llm.workspace import tidy
 
 BITS, RADIUS, BLOCKS = 256, 63, 32
 #: Items are broadcast in groups of at most so many characters; more items mean more passes, not larger broadcasts.
@@ -190,7 +190,6 @@ def contaminated(
     it. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
     out = spark.createDataFrame([], schema)
@@ -211,7 +210,7 @@ def contaminated(
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
 
-        out = out.unionAll(texts.mapInArrow(tidy(run), schema))
+        out = out.unionAll(texts.mapInArrow(tidy(run, 1000), schema))
     return out
 
 

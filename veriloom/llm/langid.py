@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.workspace import bounded_batches, tidy
+from veriloom.llm.workspace import tidy
 
 BINS = 1 << 16
 ORDERS = 3
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     often = max(1.25 * per_language, per_language + 20.0)  # a small share may not come out as none
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, often / r["count"])) for r in counts], "lang string, rate double")
     picked = own.join(F.broadcast(rates), "lang").filter(part < F.col("rate")).select(h, "lang", "text")
-    rows = sorted(picked.mapInArrow(tidy(_bins), "h long, lang string, bins binary").collect(), key=lambda r: (r["h"], r["lang"], bytes(r["bins"])))
+    rows = sorted(picked.mapInArrow(tidy(_bins, 500), "h long, lang string, bins binary").collect(), key=lambda r: (r["h"], r["lang"], bytes(r["bins"])))
     taken: dict[str, int] = {}
     sets, labels = [], []
     for r in rows:
@@ -152,7 +152,6 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
     (first language by name) change nothing; other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 500)
     if model is None:
         model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     shared = spark.sparkContext.broadcast(model)  # BINS x (languages + 1) floats
@@ -170,7 +169,7 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
                     names[i], scores[i] = name, s
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
 
-    return src.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double")
+    return src.mapInArrow(tidy(run, 500), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double")
 
 
 def reject_unidentified(docs: DataFrame, least: float = 0.3) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.components import connected_components
 from veriloom.llm.shingles import documents_words, mix64, shingle_set
-from veriloom.llm.workspace import Workspace, bounded_batches, tidy
+from veriloom.llm.workspace import Workspace, tidy
 
 BANDS, ROWS, STEP = 36, 7, 36
 BLOCK_ROWS, BLOCKS_AT_MOST, BLOCK_BYTES = 64, 32, 16_000_000
@@ -229,10 +229,9 @@ def near_duplicates(
     (1 - 0.85**7)**36 < 1e-6; ``miss`` bounds the loss of the byte comparison.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     ws = ws or Workspace(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = ws.save(texts.mapInArrow(tidy(_profile(bands, rows, k)), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary"), "profile")
+    profile = ws.save(texts.mapInArrow(tidy(_profile(bands, rows, k), 1000), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary"), "profile")
 
     known = profile.filter("doc_id is not null and fp1 is not null")
     classes = ws.save(known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")  # a table, so that the join can split a hot class
@@ -254,10 +253,10 @@ def near_duplicates(
     sized = table.join(ws.save(sizes.select("family", blocks.alias("blocks")), "sizes"), "family")
 
     wanted = sized.join(texts, sized["rep"] == texts["doc_id"]).select("rep", "family", "blocks", "keys", "sig", "text")
-    sets = wanted.mapInArrow(tidy(_shingled(k)), "rep long, family long, blocks long, keys array<long>, sig binary, shingles binary")
+    sets = wanted.mapInArrow(tidy(_shingled(k), 1000), "rep long, family long, blocks long, keys array<long>, sig binary, shingles binary")
     dealt = sets.withColumn("c", F.explode(_cells(F.col("rep"), F.col("blocks")))).select("family", "c.cell", "c.side", "rep", "keys", "sig", "shingles")
     dealt = dealt.repartition("family", "cell").sortWithinPartitions("family", "cell", "rep")
-    links = ws.save(dealt.mapInArrow(tidy(_verify(bands, STEP, percent, miss)), "a long, b long"), "links")
+    links = ws.save(dealt.mapInArrow(tidy(_verify(bands, STEP, percent, miss), 500), "a long, b long"), "links")
 
     groups = connected_components(links, ws).withColumnRenamed("node", "rep")
     out = members.join(groups, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

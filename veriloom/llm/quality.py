@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.langid import held_out
 from veriloom.llm.shingles import documents_words
-from veriloom.llm.workspace import bounded_batches, tidy
+from veriloom.llm.workspace import tidy
 
 WORD_BINS, BUCKETS, RANK = 1 << 16, 16, 8
 #: At most about so many labelled rows are learned from.
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 [batch.column(batch.num_columns - 1), batch.column(0), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["h", "label", "at", "x"]
             )
 
-    got = sorted(texts.mapInArrow(tidy(run), "h long, label int, at binary, x binary").collect(), key=lambda r: (r["h"], r["label"], bytes(r["at"]), bytes(r["x"])))
+    got = sorted(texts.mapInArrow(tidy(run, 500), "h long, label int, at binary, x binary").collect(), key=lambda r: (r["h"], r["label"], bytes(r["at"]), bytes(r["x"])))
     if not got:
         return None
     rows = [(np.frombuffer(bytes(r["at"]), np.int64), np.frombuffer(bytes(r["x"]), np.float32)) for r in got]
@@ -161,7 +161,6 @@ def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", t
     equal scores; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 500)
     shared = spark.sparkContext.broadcast(machine)  # a fixed size: (features) x (RANK + 1) floats
     src = _prepared(docs, id_col, text_col, metadata)
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -177,5 +176,5 @@ def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", t
                     out[a : a + 64] = m.scores(rows[a : a + 64])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
-    out = src.mapInArrow(tidy(run), f"doc_id {kind}, score double")
+    out = src.mapInArrow(tidy(run, 500), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

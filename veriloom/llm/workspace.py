@@ -1,67 +1,33 @@
-"""Shared scratch space: tables that cut lineage and survive lost executors."""
+"""Shared scratch space, and Arrow batches for Python workers."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+from veriloom.plans.tables import Tables
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else None
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="veriloom-"))
-    return "file://" + _LOCAL[0]
-
-
-class Workspace:
+class Workspace(Tables):
     """One folder of intermediate Parquet tables for one run of one operator."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and return it read back, so that nothing before it is ever run again."""
-        self._n += 1
-        at = f"{self.path}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        out._veriloom_path = at
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table made by :meth:`save` that no later plan reads."""
-        at = getattr(df, "_veriloom_path", None)
-        if at:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    save = Tables.keep
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so that a Python worker never holds many whole texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_batches(batches, rows: int):
+    """The batches cut to at most ``rows`` rows, so that a Python worker never turns many whole texts into objects at once; the session stays as it is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def tidy(run):
-    """``run`` for mapInArrow, giving freed memory back to the system when a task ends: idle workers stay small."""
+def tidy(run, rows: int = 10_000):
+    """``run`` for mapInArrow over batches of at most ``rows`` rows, giving freed memory back to the system when a task ends: idle workers stay small."""
 
     def tidied(batches):
         try:
-            yield from run(batches)
+            yield from run(in_batches(batches, rows))
         finally:
             pa.default_memory_pool().release_unused()
             try:
