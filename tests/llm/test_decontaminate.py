@@ -78,14 +78,44 @@ def test_groups_of_items_give_the_same(spark, sf_dir, monkeypatch):
     assert once and found(docs, items) == once
 
 
-def test_blocks_find_all_within_radius():
+def test_blocks_find_all_within_radius_and_few_others():
     rng = np.random.default_rng(1)
-    index = d.Index(5, list(range(20))).build([" ".join(f"w{x}" for x in rng.integers(0, 1000, 30)) for _ in range(20)])
-    for _ in range(300):
-        i = int(rng.integers(20))
-        mark = np.unpackbits(index.marks[i])
-        mark[rng.choice(256, d.RADIUS, replace=False)] ^= 1
-        assert (i, d.RADIUS) in index.near(np.packbits(mark))
+    index = d.Index(5, list(range(500))).build([" ".join(f"w{x}" for x in rng.integers(0, 1000, 30)) for _ in range(500)])
+    marks, want = [], []
+    for n in range(300):
+        i = int(rng.integers(500))
+        bits = (index.marks[i][:, None] >> np.arange(d.WIDTH)) & 1
+        bits.reshape(-1)[rng.choice(d.BITS, d.RADIUS, replace=False)] ^= 1
+        marks.append(bits @ (1 << np.arange(d.WIDTH)))
+        want.append((n, i, d.RADIUS))
+    assert set(want) <= set(zip(*(x.tolist() for x in index.near(np.array(marks))), strict=True))
+    index.looked_up = index.met = 0
+    index.near(rng.integers(0, 1 << d.WIDTH, (300, d.BLOCKS)))
+    share = index.met / (index.looked_up * 500)
+    print(f"items compared with a random fingerprint: {share:.3f}")
+    assert share < 0.08
+
+
+def test_rolling_fingerprints_are_those_of_each_window(monkeypatch):
+    monkeypatch.setattr(d, "_TURN", 16)
+    own = np.random.default_rng(2).integers(0, 1 << 40, 300).astype(np.uint64)
+    starts = np.array([0, 1, 2, 9, 40, 41, 90, 91, 92, 200, 270])
+    assert all((d.simhash(own[s : s + 30]) == m).all() for s, m in zip(starts, d.rolling(own, starts, 30), strict=True))
+
+
+def test_recall_at_the_threshold():
+    """Windows just at 0.8: the radius keeps nearly all."""
+    rng = np.random.default_rng(3)
+    seen = hit = 0
+    for n in range(400):
+        v = [f"w{x}" for x in rng.integers(0, 10**6, 49)]
+        w = [*v[:44], *(f"x{x}" for x in rng.integers(0, 10**6, 5))]
+        index = d.Index(5, [1]).build([" ".join(v)])
+        words = next(d.documents_words([" ".join(w)]))
+        assert abs(d.similarity(d._shingles(words, 5), index.shingles[0]) - 0.8) < 1e-9
+        seen, hit = seen + 1, hit + bool(index.matches(words, 0.8))
+    print(f"pairs at 0.8 found: {hit} of {seen}")
+    assert hit >= 0.99 * seen
 
 
 def test_edges(spark):

@@ -1,25 +1,30 @@
 """Benchmark decontamination by SimHash windows of the size of each benchmark item.
 
-A window of a document is as many words as an item has. Windows get a 256-bit
-SimHash of their five-word shingles, weighted by how often each occurs. The
-items' fingerprints are indexed in 32 blocks of 8 bits: of two fingerprints
-that differ in at most ``RADIUS`` = 63 bits, one block differs in at most one
-bit, so looking up each block and its eight one-bit neighbours finds every item
-within the radius. Those are verified by the exact weighted similarity: the sum
-of the smaller counts over the sum of the larger counts of all shingles.
-
-The shingles that a window shares with an item are counted for all windows at
-once, by sliding over the places of shared shingles in any order. Windows whose
-count can't reach the threshold are not fingerprinted; all others are, the
-largest count first, until one is confirmed.
-
-Two windows of similarity 0.8 have fingerprints that differ in about 39 bits
-(standard deviation 6), so the radius misses such a pair about once in 10**5.
+A window of a document is as many words as an item has. Windows get a SimHash
+of ``BITS`` bits of their five-word shingles, weighted by how often each occurs,
+which rolls along: one shingle enters, one leaves. The items' fingerprints are
+indexed in ``BLOCKS`` blocks of ``WIDTH`` bits. Of two fingerprints that differ
+in at most ``RADIUS`` bits, one block differs in at most ``FLIPS`` bits, so
+looking up every block with all its neighbours of up to so many flipped bits
+finds every item within the radius; a random item meets about one lookup in
+twenty. Items within the radius are verified by the exact weighted similarity:
+the sum of the smaller counts over the sum of the larger counts of all shingles.
+
+A window that reaches the threshold for an item of its size holds a certain
+number of places with a shingle that items of that size have. Windows with
+fewer, whatever the order and whichever the items, get no fingerprint; all
+others do.
+
+Two windows of similarity 0.8 have fingerprints that differ in about 38 bits
+(standard deviation 6), so the radius misses such a pair about once in 800, and
+one of similarity 0.85 less than once in 10**4.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,14 @@ from pyspark.sql import functions as F
 from veriloom.llm.shingles import combine, documents_words, hash_words, mix64
 from veriloom.llm.workspace import tidy
 
-BITS, RADIUS, BLOCKS = 256, 63, 32
+WIDTH, BLOCKS, FLIPS = 18, 14, 3
+BITS, RADIUS = WIDTH * BLOCKS, FLIPS * BLOCKS + BLOCKS - 1  # pigeonhole: were every block to differ in more than FLIPS bits, more than RADIUS would differ
 #: Items are broadcast in groups of at most so many characters; more items mean more passes, not larger broadcasts.
 GROUP_CHARS = 8_000_000
 _LANES = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B], dtype=np.uint64)
+_MASKS = np.array([sum(1 << x for x in c) for n in range(FLIPS + 1) for c in combinations(range(WIDTH), n)], dtype=np.int64)
+_PLACE = 1 << np.arange(WIDTH, dtype=np.int64)
+_TURN = 2048
 
 
 def _shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -44,12 +53,35 @@ def _shingles(words: np.ndarray, k: int) -> np.ndarray:
 def _signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of ``BITS`` bits of each shingle."""
     lanes = mix64(shingles[:, None] ^ _LANES[None, :])
-    return np.unpackbits(lanes.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int32) * 2 - 1
+    return np.unpackbits(lanes.view(np.uint8).reshape(len(shingles), 32), axis=1)[:, :BITS].astype(np.int32) * 2 - 1
+
+
+def _marks(sums: np.ndarray) -> np.ndarray:
+    """Fingerprints as block values."""
+    return (sums > 0).reshape(len(sums), BLOCKS, WIDTH) @ _PLACE
+
+
+def rolling(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` shingles at ``starts`` (in order). A shingle that occurs n times has weight n."""
+    out = np.empty((len(starts), BLOCKS), dtype=np.int64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        upto = int(np.searchsorted(starts, first + _TURN))
+        gap = np.flatnonzero(np.diff(starts[at:upto]) > size)  # beyond a gap a new sum is cheaper
+        upto = at + int(gap[0]) + 1 if len(gap) else upto
+        steps = int(starts[upto - 1]) - first
+        base = sum(_signs(shingles[i : min(i + _TURN, first + size)]).sum(axis=0) for i in range(first, first + size, _TURN))
+        moved = _signs(shingles[first + size : first + size + steps]) - _signs(shingles[first : first + steps]) if steps else np.zeros((0, BITS), dtype=np.int32)
+        sums = np.concatenate((base[None, :], base + np.cumsum(moved, axis=0)))
+        out[at:upto] = _marks(sums[starts[at:upto] - first])
+        at = upto
+    return out
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
-    """Fingerprint, as bytes; a shingle that occurs n times has weight n."""
-    return np.packbits(_signs(shingles).sum(axis=0) > 0)
+    """Fingerprint of one whole text, as block values."""
+    return rolling(shingles, np.zeros(1, dtype=np.int64), len(shingles))[0]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -61,99 +93,105 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return low / (len(a) + len(b) - low) if len(a) + len(b) else 0.0
 
 
-def _shared_counts(at: np.ndarray, which: np.ndarray, limit: np.ndarray, size: int, windows: int) -> np.ndarray:
-    """Sum of the smaller occurrence counts of an item and each window of ``size`` shingles.
-
-    ``at`` are the places of a document's shingles in order, ``which`` their
-    numbers, ``limit`` how often each number occurs in the item. An occurrence
-    counts in the windows that hold it unless they hold ``limit`` earlier ones.
-    """
-    used = limit[which] > 0
-    at, which = at[used], which[used]
-    order = np.argsort(which, kind="stable")
-    at, which = at[order], which[order]
-    first = np.maximum(at - size + 1, 0)
-    before = np.arange(len(at)) - limit[which]
-    same = (before >= 0) & (which[before] == which)
-    first[same] = np.maximum(first[same], at[before[same]] + 1)
-    last = np.minimum(at, windows - 1)
-    some = first <= last
-    edges = np.bincount(first[some], minlength=windows + 1) - np.bincount(last[some] + 1, minlength=windows + 1)
-    return np.cumsum(edges)[:windows]
-
-
 @dataclass
 class Index:
-    """Items of one group: their shingles, where each shingle occurs, and fingerprint blocks."""
+    """Items of one group: which shingles occur in items of which size, and the fingerprint blocks."""
 
     k: int
     ids: list[int]
     words: list[int] = field(default_factory=list)
     shingles: list[np.ndarray] = field(default_factory=list)
+    looked_up: int = 0
+    met: int = 0
 
     def build(self, texts: list[str | None]) -> Index:
         for w in documents_words(texts):
             self.words.append(len(w))
             self.shingles.append(_shingles(w, self.k))
-        rows = [(s, i, o) for i, own in enumerate(self.shingles) for o, s in enumerate(own.tolist())]
-        rows.sort()
-        self.keys = np.array([r[0] for r in rows], dtype=np.uint64)
-        self.items = np.array([r[1] for r in rows], dtype=np.int64)
-        self.offsets = np.array([r[2] for r in rows], dtype=np.int64)
+        self.size = np.array(self.words, dtype=np.int64)
+        sizes = np.repeat(self.size, [len(s) for s in self.shingles])
+        rows = np.unique(np.stack([np.concatenate([*self.shingles, np.zeros(0, np.uint64)]), sizes.astype(np.uint64)]), axis=1)
+        self.keys, at = np.unique(rows[0], return_index=True)
+        self.bounds, self.sizes = np.append(at, rows.shape[1]), rows[1].astype(np.int64)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.marks = np.array([simhash(s) if len(s) else np.zeros(BITS // 8, np.uint8) for s in self.shingles], dtype=np.uint8).reshape(-1, BITS // 8)
-        flips = np.concatenate(([0], 1 << np.arange(8))).astype(np.uint8)
-        self.blocks: list[dict[int, np.ndarray]] = []
+        self.marks = np.array([simhash(s) if len(s) else np.zeros(BLOCKS, np.int64) for s in self.shingles], dtype=np.int64).reshape(-1, BLOCKS)
+        self.order = np.argsort(self.marks, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.marks, self.order, axis=0)
+        self.have = np.zeros((BLOCKS, 1 << WIDTH), dtype=bool)
         for b in range(BLOCKS):
-            table: dict[int, list[int]] = {}
-            for i in range(len(self.ids)):
-                for f in flips:
-                    table.setdefault(int(self.marks[i, b] ^ f), []).append(i)
-            self.blocks.append({v: np.array(x) for v, x in table.items()})
+            self.have[b, self.marks[:, b]] = True
         return self
 
-    def near(self, mark: np.ndarray) -> list[tuple[int, int]]:
-        """(item, differing bits) of every item within the radius."""
-        found = [self.blocks[b][int(v)] for b, v in enumerate(mark) if int(v) in self.blocks[b]]
+    def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of ``marks``, item, differing bits) of every item within the radius of each fingerprint."""
+        found = []
+        for at in range(0, len(marks), 256):
+            codes = []
+            for b in range(BLOCKS):
+                asked = marks[at : at + 256, b, None] ^ _MASKS[None, :]
+                row, col = np.nonzero(self.have[b][asked])
+                value = asked[row, col]
+                lo, hi = np.searchsorted(self.sorted[:, b], value), np.searchsorted(self.sorted[:, b], value, side="right")
+                n = hi - lo
+                items = self.order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), b]
+                codes.append((np.repeat(row, n) + at) * len(self.ids) + items)
+            met = np.unique(np.concatenate(codes))
+            row, item = np.divmod(met, max(len(self.ids), 1))
+            apart = np.bitwise_count(marks[row] ^ self.marks[item]).sum(axis=1)
+            self.met += len(met)
+            found.append((row[apart <= RADIUS], item[apart <= RADIUS], apart[apart <= RADIUS]))
+        self.looked_up += len(marks)
         if not found:
-            return []
-        items = np.unique(np.concatenate(found))
-        apart = np.unpackbits(self.marks[items] ^ mark, axis=1).sum(axis=1)
-        return [(int(i), int(d)) for i, d in zip(items, apart, strict=True) if d <= RADIUS]
+            return (np.zeros(0, dtype=np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def matches(self, words: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """Best window of each item that reaches the threshold: (item id, first word, words, differing bits, similarity)."""
         own = _shingles(words, self.k)
         maybe = np.flatnonzero(self.filter[(own >> np.uint64(44)).astype(np.int64)])
-        if not len(maybe):
+        place = np.searchsorted(self.keys, own[maybe])
+        hit = np.flatnonzero(place < len(self.keys))
+        hit = hit[self.keys[place[hit]] == own[maybe[hit]]]
+        if not len(hit):
             return []
-        here, which, times = np.unique(own[maybe], return_inverse=True, return_counts=True)
-        lo, hi = np.searchsorted(self.keys, here), np.searchsorted(self.keys, here, side="right")
-        n = hi - lo
-        if not n.any():
-            return []
-        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pairs, least = np.unique(np.stack([self.items[rows], np.repeat(np.arange(len(here)), n)]), axis=1, return_counts=True)  # item, shingle, occurrences in the item
-        shared = np.bincount(pairs[0], weights=np.minimum(least, times[pairs[1]]), minlength=len(self.ids))
-        best = {}
-        for i in np.flatnonzero(shared).tolist():
-            size = self.words[i]
-            part = min(len(own), max(1, min(size, len(words)) - self.k + 1))  # shingles of a window
-            need = int(np.ceil(threshold * (part + len(self.shingles[i])) / (1 + threshold) - 1e-9))
-            if shared[i] < need:
+        at, lo = maybe[hit], self.bounds[place[hit]]
+        n = self.bounds[place[hit] + 1] - lo
+        sizes, where = self.sizes[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(at, n)
+        by_size = np.argsort(sizes, kind="stable")
+        sizes, where = sizes[by_size], where[by_size]
+        best: dict[int, tuple] = {}
+        for size in np.unique(sizes).tolist():
+            whole = max(1, size - self.k + 1)  # shingles of an item of this size
+            part = min(len(own), max(1, min(size, len(words)) - self.k + 1))  # and of a window
+            need = ceil(threshold * (part + whole) / (1 + threshold) - 1e-9)
+            places = where[np.searchsorted(sizes, size) : np.searchsorted(sizes, size, side="right")]
+            if len(places) < need or part < need:
+                continue
+            sums = np.zeros(len(own) + 1, dtype=np.int64)
+            sums[1:] = np.cumsum(np.bincount(places, minlength=len(own)))
+            count = sums[part:] - sums[: len(sums) - part]
+            starts = np.flatnonzero(count >= need)
+            if not len(starts):
                 continue
-            limit = np.zeros(len(here), dtype=np.int64)
-            limit[pairs[1][pairs[0] == i]] = least[pairs[0] == i]
-            low = _shared_counts(maybe, which, limit, part, len(own) - part + 1)
-            starts = np.flatnonzero(low >= need)
-            for start in starts[np.argsort(-low[starts], kind="stable")].tolist():
-                window = own[start : start + part]
-                d = dict(self.near(simhash(window))).get(i)
-                s = similarity(window, self.shingles[i]) if d is not None else 0.0
-                if s >= threshold:
-                    best[i] = (s, start, min(size, len(words)), d)
-                    break
+            marks, same = np.unique(rolling(own, starts, part), axis=0, return_inverse=True)
+            row, item, apart = self.near(marks)
+            right = self.size[item] == size
+            row, item, apart = row[right], item[right], apart[right]
+            by_count = starts[np.argsort(-count[starts], kind="stable")]
+            mark_of = dict(zip(starts.tolist(), same.reshape(-1).tolist(), strict=True))
+            for i in np.unique(item).tolist():
+                of = dict(zip(row[item == i].tolist(), apart[item == i].tolist(), strict=True))
+                for start in by_count.tolist():
+                    c = int(count[start])
+                    if i in best and c < best[i][0] * (part + whole - c):
+                        break  # no later window can be better
+                    d = of.get(mark_of[start])
+                    if d is None:
+                        continue
+                    s = similarity(own[start : start + part], self.shingles[i])
+                    if s >= threshold and (i not in best or (s, -start) > (best[i][0], -best[i][1])):
+                        best[i] = (s, start, min(size, len(words)), d)
         return [(self.ids[i], start, size, d, s) for i, (s, start, size, d) in sorted(best.items())]
 
 
