@@ -36,3 +36,15 @@ def tidy(run, rows: int = 10_000):
                 pass  # not every C library has it
 
     return tidied
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
