@@ -64,6 +64,28 @@ def test_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_that_no_pivot_sees(spark, monkeypatch):
+    """Chains in which a text is linked with members of a bucket, but not with its smallest."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 5)
+    rng = random.Random(9)
+    rows = []
+    for chain in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for step in range(14):
+            rows.append((100 * chain + step, " ".join(words)))
+            at = (step * 31) % 140
+            words[at : at + 6] = [f"x{rng.randrange(10**6)}" for _ in range(6)]
+    want = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == want and len({r[2] for r in want}) == 12
+
+
+def test_long_texts_and_names_that_clash(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, long, 7, 8), (2, long + " x", 7, 8), (3, "a b", 7, 8)], "doc_id long, text string, gone_id int, _gone int")
+    out = minhash.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_null_id_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     rows = sorted(minhash.near_duplicates(df).collect(), key=str)

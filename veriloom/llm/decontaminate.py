@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.shingles import combine, documents_words, hash_words, mix64
-from veriloom.llm.workspace import tidy
+from veriloom.llm.workspace import fresh, tidy
 
 WIDTH, BLOCKS, FLIPS = 18, 14, 3
 BITS, RADIUS = WIDTH * BLOCKS, FLIPS * BLOCKS + BLOCKS - 1  # pigeonhole: were every block to differ in more than FLIPS bits, more than RADIUS would differ
@@ -254,5 +254,6 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that repeat a benchmark item; a row without an id stays. Columns stay."""
-    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs[id_col] == found["_leaked"], "left_anti")
+    (leaked,) = fresh(docs.columns, "leaked")
+    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(found, docs[id_col] == found[leaked], "left_anti")

@@ -6,15 +6,16 @@
 2. ``bands * rows`` MinHash values per representative. Representatives that
    agree on all values of a band are candidates; buckets are joined to their
    smallest member only, never expanded into pairs.
-3. Candidates that are connected through buckets form a family. A family is
-   dealt in blocks: each pair of blocks is one bounded task, so a large family
-   spreads over many tasks.
-4. In a task, pairs that share a band compare signature bytes batch after
-   batch. A pair is dropped once the posterior probability that its similarity
-   reaches the threshold falls below ``miss``; survivors are checked exactly on
-   their full shingle sets. Pairs already joined by links are not compared
-   again, so at most one link per text leaves a task.
-5. Links between representatives are joined into components.
+3. Each candidate is compared with the smallest member of its buckets:
+   signature bytes batch after batch, and a pair is dropped once the posterior
+   probability that its similarity reaches the threshold falls below ``miss``;
+   survivors are checked exactly on their full shingle sets. Links join texts
+   into components, so a group of near copies of one text is done here.
+4. Buckets that still hold several components are open. Their members, connected
+   through open buckets, form families; a family is dealt in blocks, and each
+   pair of blocks is one bounded task that compares, in the same way, pairs of
+   different components that share a band. At most one link per text leaves it.
+5. All links between representatives are joined into components.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.components import connected_components
 from veriloom.llm.shingles import documents_words, mix64, shingle_set
-from veriloom.llm.workspace import Workspace, tidy
+from veriloom.llm.workspace import Workspace, fresh, tidy
 
 BANDS, ROWS, STEP = 36, 7, 36
-BLOCK_ROWS, BLOCKS_AT_MOST, BLOCK_BYTES = 64, 32, 16_000_000
+BLOCK_ROWS, BLOCK_BYTES = 256, 16_000_000
 
 
 @lru_cache(maxsize=4)
@@ -112,13 +113,12 @@ def _profile(bands: int, rows: int, k: int):
 
 
 def _shingled(k: int):
-    """Members with their text: adds the packed shingle set."""
+    """(rep, text) to (rep, packed shingle set)."""
 
     def run(batches):
         for batch in batches:
-            packed = [shingle_set(w, k).tobytes() for w in documents_words(batch.column(batch.num_columns - 1).to_pylist())]
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
+            packed = [shingle_set(w, k).tobytes() for w in documents_words(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -133,10 +133,41 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verify_task(ids, sides, keys, sigs, sets, bands: int, step: int, percent: int, miss: float) -> list[tuple[int, int]]:
-    """Spanning links between the texts of one pair of blocks (or of one block with itself)."""
+def _promising(step: int, percent: int, miss: float):
+    """Pairs (rep, pivot, n, other_n, sig, other_sig) that the byte comparison leaves."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            left = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if len(left):
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in (4, 5))
+                matches, done = np.zeros(len(left), dtype=np.int64), 0
+                for upto, least in least_matches(a.shape[1], step, percent / 100, miss):
+                    matches = matches + (a[left, done:upto] == b[left, done:upto]).sum(axis=1)
+                    keep = matches >= least
+                    left, matches, done = left[keep], matches[keep], upto
+            yield batch.select([0, 1]).take(pa.array(left))
+
+    return run
+
+
+def _confirmed(percent: int):
+    """Pairs (rep, pivot, shingles, other_shingles) that are linked."""
+
+    def run(batches):
+        for batch in batches:
+            own = [_linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(own, pa.bool_()))
+
+    return run
+
+
+def _verify_task(ids, sides, keys, sigs, sets, known, bands: int, step: int, percent: int, miss: float) -> list[tuple[int, int]]:
+    """Spanning links between the texts of one pair of blocks (or of one block with itself); ``known`` are their components so far."""
     n = len(ids)
-    comp = list(range(n))
+    first: dict[int, int] = {}
+    comp = [first.setdefault(c, i) for i, c in enumerate(known)]
 
     def root(x: int) -> int:
         while comp[x] != x:
@@ -191,7 +222,7 @@ def _verify(bands: int, step: int, percent: int, miss: float):
                 ids = [r[3] for r in own]
                 out += _verify_task(
                     ids, np.array([r[2] for r in own]), [np.array(r[4], dtype=np.int64) for r in own], [np.frombuffer(r[5], dtype=np.uint8) for r in own],
-                    [np.frombuffer(r[6], dtype=np.uint64) for r in own], bands, step, percent, miss,
+                    [np.frombuffer(r[6], dtype=np.uint64) for r in own], [r[7] for r in own], bands, step, percent, miss,
                 )
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
@@ -220,10 +251,12 @@ def near_duplicates(
     ``kept`` (``doc_id = component_id``).
 
     A null, empty or blank text has an empty set, links with nothing and is its
-    own component. A row without ``doc_id`` has no identity: it is returned
-    with a null component and kept. Repeated rows of one ``doc_id`` count as
-    one document. An empty table gives an empty result. Other columns of
-    ``docs`` are ignored, whatever their names.
+    own component. Texts may be of any length: a set is made and compared whole.
+    A row without ``doc_id`` has no identity: it is returned with a null
+    component and kept; ``doc_id`` has to be a number. Repeated rows of one
+    ``doc_id`` count as one document. Ties need no rule: a component is named
+    by its smallest ``doc_id``. An empty table gives an empty result. Other
+    columns of ``docs`` are ignored, whatever their names.
 
     Probability that a pair at the threshold is no candidate:
     (1 - 0.85**7)**36 < 1e-6; ``miss`` bounds the loss of the byte comparison.
@@ -242,21 +275,40 @@ def near_duplicates(
 
     buckets = reps.select("rep", F.explode("keys").alias("bucket"))
     pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot <> last").select("bucket", "pivot")
-    families = connected_components(buckets.join(pivots, "bucket").select("rep", "pivot"), ws)
-
+    met = ws.save(buckets.join(pivots, "bucket").select("rep", "bucket", "pivot"), "met")
+    stars = ws.save(met.filter("rep <> pivot").select("rep", "pivot").distinct(), "stars")
+    side = reps.select("rep", "n_shingles", "sig")
+    both = stars.join(side, "rep").join(side.withColumnsRenamed({"rep": "pivot", "n_shingles": "other_n", "sig": "other_sig"}), "pivot")
+    both = both.select("rep", "pivot", "n_shingles", "other_n", "sig", "other_sig")
+    left = ws.save(both.mapInArrow(tidy(_promising(STEP, percent, miss)), "rep long, pivot long"), "left")
+
+    def with_sets(wanted: DataFrame, name: str) -> DataFrame:
+        own = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text")
+        return ws.save(own.mapInArrow(tidy(_shingled(k), 1000), "rep long, shingles binary"), name)
+
+    sets = with_sets(left.select("rep").unionAll(left.select(F.col("pivot").alias("rep"))).distinct(), "sets")
+    both = left.join(sets, "rep").join(sets.withColumnsRenamed({"rep": "pivot", "shingles": "other"}), "pivot").select("rep", "pivot", "shingles", "other")
+    links = ws.save(both.mapInArrow(tidy(_confirmed(percent), 500), "rep long, pivot long").toDF("a", "b"), "links")
+    ws.drop(sets)
+
+    joined = connected_components(links, ws).withColumnsRenamed({"node": "rep", "component": "known"})
+    tagged = ws.save(met.join(joined, "rep", "left").select("rep", "bucket", "pivot", F.coalesce("known", "rep").alias("known")), "tagged")
+    ws.drop(met)
+    unsettled = tagged.groupBy("bucket").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x <> y").select("bucket")
+    unsettled = ws.save(tagged.join(unsettled, "bucket", "left_semi"), "open")
+    families = connected_components(unsettled.select("rep", "pivot"), ws)
     table = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
     table = table.unionAll(families.select(F.col("component").alias("rep"), F.col("component").alias("family")).distinct())
-    table = ws.save(table.join(reps, "rep"), "families")
+    table = table.join(unsettled.select("rep", "known").distinct(), "rep").join(reps, "rep")
+    table = ws.save(table, "families")
     sizes = table.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("bytes"))
-    by_rows = F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(BLOCKS_AT_MOST))
-    blocks = F.greatest(by_rows, F.ceil(F.col("bytes") * 8 / BLOCK_BYTES), F.lit(1)).cast("long")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") * 8 / BLOCK_BYTES), F.lit(1)).cast("long")
     sized = table.join(ws.save(sizes.select("family", blocks.alias("blocks")), "sizes"), "family")
-
-    wanted = sized.join(texts, sized["rep"] == texts["doc_id"]).select("rep", "family", "blocks", "keys", "sig", "text")
-    sets = wanted.mapInArrow(tidy(_shingled(k), 1000), "rep long, family long, blocks long, keys array<long>, sig binary, shingles binary")
-    dealt = sets.withColumn("c", F.explode(_cells(F.col("rep"), F.col("blocks")))).select("family", "c.cell", "c.side", "rep", "keys", "sig", "shingles")
+    sets = with_sets(table.select("rep").distinct(), "sets")
+    dealt = sized.join(sets, "rep").withColumn("c", F.explode(_cells(F.col("rep"), F.col("blocks")))).select("family", "c.cell", "c.side", "rep", "keys", "sig", "shingles", "known")
     dealt = dealt.repartition("family", "cell").sortWithinPartitions("family", "cell", "rep")
-    links = ws.save(dealt.mapInArrow(tidy(_verify(bands, STEP, percent, miss), 500), "a long, b long"), "links")
+    rest = ws.save(dealt.mapInArrow(tidy(_verify(bands, STEP, percent, miss), 500), "a long, b long"), "links")
+    links = links.unionAll(rest)
 
     groups = connected_components(links, ws).withColumnRenamed("node", "rep")
     out = members.join(groups, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -269,5 +321,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     A row without ``doc_id`` stays. Of repeated rows of one kept ``doc_id`` all stay.
     """
-    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[options.get("id_col", "doc_id")] == gone["_gone"], "left_anti")
+    id_col = options.get("id_col", "doc_id")
+    (gone_id,) = fresh(docs.columns, "gone_id")
+    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs[id_col] == gone[gone_id], "left_anti")
