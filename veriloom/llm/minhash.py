@@ -282,14 +282,11 @@ def near_duplicates(
     both = both.select("rep", "pivot", "n_shingles", "other_n", "sig", "other_sig")
     left = ws.save(both.mapInArrow(tidy(_promising(STEP, percent, miss)), "rep long, pivot long"), "left")
 
-    def with_sets(wanted: DataFrame, name: str) -> DataFrame:
-        own = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text")
-        return ws.save(own.mapInArrow(tidy(_shingled(k), 1000), "rep long, shingles binary"), name)
-
-    sets = with_sets(left.select("rep").unionAll(left.select(F.col("pivot").alias("rep"))).distinct(), "sets")
+    wanted = stars.select("rep").unionAll(stars.select(F.col("pivot").alias("rep"))).distinct()
+    own = texts.join(wanted.hint("merge"), texts["doc_id"] == wanted["rep"]).select("rep", "text")  # the same way at every size
+    sets = ws.save(own.mapInArrow(tidy(_shingled(k), 1000), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
     both = left.join(sets, "rep").join(sets.withColumnsRenamed({"rep": "pivot", "shingles": "other"}), "pivot").select("rep", "pivot", "shingles", "other")
     links = ws.save(both.mapInArrow(tidy(_confirmed(percent), 500), "rep long, pivot long").toDF("a", "b"), "links")
-    ws.drop(sets)
 
     joined = connected_components(links, ws).withColumnsRenamed({"node": "rep", "component": "known"})
     tagged = ws.save(met.join(joined, "rep", "left").select("rep", "bucket", "pivot", F.coalesce("known", "rep").alias("known")), "tagged")
@@ -304,11 +301,12 @@ def near_duplicates(
     sizes = table.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") * 8 / BLOCK_BYTES), F.lit(1)).cast("long")
     sized = table.join(ws.save(sizes.select("family", blocks.alias("blocks")), "sizes"), "family")
-    sets = with_sets(table.select("rep").distinct(), "sets")
     dealt = sized.join(sets, "rep").withColumn("c", F.explode(_cells(F.col("rep"), F.col("blocks")))).select("family", "c.cell", "c.side", "rep", "keys", "sig", "shingles", "known")
     dealt = dealt.repartition("family", "cell").sortWithinPartitions("family", "cell", "rep")
     rest = ws.save(dealt.mapInArrow(tidy(_verify(bands, STEP, percent, miss), 500), "a long, b long"), "links")
     links = links.unionAll(rest)
+    for old in (sets, tagged, unsettled, left, stars):
+        ws.drop(old)
 
     groups = connected_components(links, ws).withColumnRenamed("node", "rep")
     out = members.join(groups, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
