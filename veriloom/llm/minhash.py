@@ -284,7 +284,7 @@ def near_duplicates(
 
     wanted = stars.select("rep").unionAll(stars.select(F.col("pivot").alias("rep"))).distinct()
     own = texts.join(wanted.hint("merge"), texts["doc_id"] == wanted["rep"]).select("rep", "text")  # the same way at every size
-    sets = ws.save(own.mapInArrow(tidy(_shingled(k), 1000), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    sets = ws.save(own.mapInArrow(tidy(_shingled(k), 1000), "rep long, shingles binary"), "sets")
     both = left.join(sets, "rep").join(sets.withColumnsRenamed({"rep": "pivot", "shingles": "other"}), "pivot").select("rep", "pivot", "shingles", "other")
     links = ws.save(both.mapInArrow(tidy(_confirmed(percent), 500), "rep long, pivot long").toDF("a", "b"), "links")
 
