@@ -43,10 +43,13 @@ def test_includes(docs):
     assert "Included text \\cite{d}." in text[1] and "Deep \\cite{e}." in text[1] and "\\input{main}" in text[1] and "% \\input{ignored}" in text[1]
 
 
-def test_include_depth_and_resolution():
-    texts = {f"p/{i}.tex": f"{i} \\input{{{i + 1}}}" for i in range(20)}
-    assert tex.expand("p/0.tex", texts, "p").split()[-2:] == ["10", "\\input{11}"]
-    assert tex.resolve("a", "p", "p/sub", {"p/sub/a.tex", "p/a"}) == "p/a" and tex.resolve("a.tex", "p", "p/sub", {"p/sub/a.tex"}) == "p/sub/a.tex" and tex.resolve("b", "p", "p", {}) is None
+def test_include_depth_and_resolution(spark):
+    rows = [(1, f"p/{i}.tex", i == 0, f"{i} \\input{{{i + 1}}}") for i in range(20)]
+    rows += [(2, "q/main.tex", True, "\\input{a} \\input{sub/b}"), (2, "q/a", False, "plain"), (2, "q/sub/b.tex", False, "b \\input{c} \\input{none}"), (2, "q/sub/c.tex", False, "c \\input{b}"), (2, "q/a.bib", False, "x"), (3, "r/main.tex", True, None)]
+    got = {r.doc_id: r.text for r in tex.documents(spark.createDataFrame(rows, "doc_id long, path string, is_main boolean, text string")).collect()}
+    assert got[1].split()[-2:] == ["10", "\\input{11}"]
+    assert got[2] == "plain b c \\input{b} \\input{none}" and got[3] == ""
+    assert tex.include_paths("a.tex", "p", "p/sub") == ["p/a.tex", "p/sub/a.tex"]
 
 
 def test_bibliographies_and_notes(docs, files):

@@ -6,10 +6,13 @@ literal table that is written out in both languages.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriloom.functions import identifiers, latex, similarity, text
 from veriloom.operators import consistency, evidence, judging, references
@@ -78,12 +81,6 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(title, r"[ \t\n\r\f\x0B]+", " ")).alias("title"))
 
 
-@query("sentence_counts", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(text, '[.?!]\\s+'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n FROM documents")
-def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split("text", r"[.?!]\s+"), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("n"))
-
-
 @query("split_sentences")
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-25 on every document; abbreviations and look-ahead have no SQL counterpart, tests hold it against the rules."""
@@ -98,38 +95,6 @@ def claims_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.claims(docs)
 
 
-@query(
-    "quote_in_document",
-    f"""SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, lower(text) AS t FROM benchmark
-        WHERE len(list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> '')) >= 3) b ON contains(lower(d.text), b.t)""",
-)
-def quote_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-05: which documents hold a quote of three words or more word for word.
-
-    Documents and quotes meet on a run of up to five inner words of the quote
-    (its first and last word may be cut from longer ones), then are compared
-    whole. Few quotes go into the plan as a list, more are joined.
-    """
-    docs, quotes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = lambda c: F.filter(F.split(F.lower(c), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-
-    def runs(n: int):
-        w = F.col("w")
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
-
-    d = docs.select("doc_id", F.lower("text").alias("t"), words(F.col("text")).alias("w"))
-    q = quotes.select("item_id", F.lower("text").alias("q"), words(F.col("text")).alias("w")).filter("size(w) >= 3").withColumn("n", F.least(F.size("w") - 2, F.lit(5)))
-    out = None
-    for n, count in sorted((r["n"], r["count"]) for r in q.groupBy("n").count().collect()):  # at most five lengths
-        own = q.filter(F.col("n") == n).select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 2, n), " ")).alias("run"))
-        here = runs(n)
-        if count <= 10_000:
-            here = F.array_intersect(here, F.lit([r["run"] for r in own.select("run").distinct().collect()]))
-        found = d.select("doc_id", "t", F.explode(F.array_distinct(here)).alias("run")).join(own, "run").filter(F.contains("t", F.col("q"))).select("doc_id", "item_id")
-        out = found if out is None else out.unionAll(found)
-    return (spark.createDataFrame([], "doc_id long, item_id long") if out is None else out).distinct()
-
-
 def quotes_in_documents(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every quote that stands in a document under all foldings of STR-05.
 
@@ -146,44 +111,59 @@ def quotes_in_documents(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     q = q.select("item_id", "quote", "n", F.xxhash64(F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("run"))
     d = docs.select("doc_id", "text", F.split(text.match_key("text"), " ").alias("w"))
     here = [F.array().cast("array<bigint>")]
-    for n, count in sorted((r["n"], r["count"]) for r in q.groupBy("n").count().collect()):  # at most five lengths
-        own = runs(n)
-        if count <= 10_000:
-            own = F.array_intersect(own, F.lit([r["run"] for r in q.filter(F.col("n") == n).select("run").distinct().collect()]))
-        here.append(F.coalesce(own, here[0]))
+    for n in sorted(r["n"] for r in q.select("n").distinct().collect()):  # at most five lengths
+        here.append(F.coalesce(runs(n), here[0]))
     met = d.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*here))).alias("run")).join(q, "run")
     return met.filter(text.quote_in_abstract("quote", "text")).select("doc_id", "item_id").distinct()
 
 
-@query("quote_check")
+_TRIMMED = f"trim(regexp_replace(lower(text), '{SPACE}', ' ', 'g'))"
+
+
+@query(
+    "quote_check",
+    f"""SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {_TRIMMED} AS t FROM documents) d
+        JOIN (SELECT item_id, trim(rtrim(trim({_TRIMMED}, '"'' '), '.'), '"'' ') AS q FROM benchmark) b ON len(string_split(b.q, ' ')) >= 3 AND contains(d.t, b.q)""",
+)
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-05 with all its foldings: which documents hold which benchmark item."""
     return quotes_in_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query(
-    "inverted_index_roundtrip",
-    f"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> ''), ' ')) AS digest FROM documents WHERE length(text) < 4000",
-)
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def _positions(text: pd.Series) -> pd.Series:
+    def index(t):
+        at: dict[str, list[int]] = {}
+        for n, w in enumerate(x for x in re.split("[ \\t\\n\\r\\f\\v]+", t) if x):
+            at.setdefault(w, []).append(n)
+        return at
+
+    return pd.Series([index(t) if isinstance(t, str) else None for t in text], dtype=object)
+
+
+@query("inverted_index_roundtrip", f"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> ''), ' ')) AS digest FROM documents")
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-11: documents turned into word positions, and back; whole texts of any length, in time linear but for sorts."""
-    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").isNotNull().alias("some"), words.alias("w"))
-    placed = docs.select("row", "doc_id", "some", F.posexplode_outer("w").alias("p", "word"))
-    at = placed.groupBy("row", "doc_id", "some", "word").agg(F.collect_list("p").alias("at"))
-    entries = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "at")))
-    index = at.groupBy("row", "doc_id", "some").agg(F.map_from_entries(entries).alias("index"))
+    """AGG-11: documents turned into word positions, and back; whole texts of any length, row by row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _positions("text").alias("index"))
     back = F.coalesce(records.inverted_text(F.col("index")), F.lit(""))
-    return index.select("doc_id", F.when(F.col("some"), F.md5(back.cast("binary"))).alias("digest"))
+    return docs.select("doc_id", F.when(F.col("text").isNotNull(), F.md5(back.cast("binary"))).alias("digest"))
 
 
 # --- windows, early stops, latches ----------------------------------------------------------------------------------------
 
 
-@query("preceding_turn", "SELECT conv_id, turn, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS context_before FROM conversations")
-def preceding_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text", 1, "").over(w).alias("context_before"))
+@query(
+    "claims_in_order",
+    """WITH s AS (SELECT conv_id, turn, 'Turn ' || turn || ' is of the ' || role || ' \\cite{k' || turn || '}.' AS sentence FROM conversations)
+       SELECT conv_id, CAST(row_number() OVER w AS INTEGER) AS claim_index, sentence, 'k' || turn AS cite_key, lag(sentence, 1, '') OVER w AS context_before FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+)
+def claims_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-24 to STR-26, WIN-01 and WIN-02: a paragraph of one citing sentence for each turn."""
+    line = F.concat(F.lit("Turn "), F.col("turn"), F.lit(" is of the "), F.col("role"), F.lit(" \\cite{k"), F.col("turn"), F.lit("}."))
+    turns = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    docs = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("t"))
+    docs = docs.select("doc_id", F.array_join(F.transform("t", lambda x: x["line"]), " ").alias("text"))
+    return consistency.claims(docs).select(F.col("doc_id").alias("conv_id"), "claim_index", "sentence", "cite_key", "context_before")
 
 
 @query("grouped_order", "SELECT conv_id, turn, role, min(turn) OVER (PARTITION BY conv_id, role) AS group_first FROM conversations")
@@ -192,22 +172,34 @@ def grouped_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.judging_order(own).select(F.col("doc_id").alias("conv_id"), F.col("claim_index").alias("turn"), F.col("cite_key").alias("role"), "group_first")
 
 
-_RANK = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END"
+def _answers(spark: SparkSession, sf_dir: str, key: str, endpoint: Column, code: Column) -> DataFrame:
+    """Events as recorded answers, in order of their ids."""
+    none = F.lit(None)
+    return table(spark, sf_dir, "events").select(
+        F.lit("s2").alias("source"), endpoint.cast("string").alias("endpoint"), F.col(key).cast("string").alias("request_key"), F.col("event_id").cast("long").alias("seq"), code.cast("int").alias("http_status"),
+        none.cast("map<string,string>").alias("headers"), F.lit("{}").alias("body"), none.cast("string").alias("network_error"),
+    )
 
 
-@query("source_priority_pick", f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_RANK}, event_id) AS r FROM events) WHERE r = 1")
+@query(
+    "source_priority_pick",
+    """SELECT CAST(user_id AS VARCHAR) AS request_key, coalesce(min(event_id) FILTER (WHERE event_type <> 'view'), max(event_id)) AS seq, CASE WHEN bool_and(event_type = 'view') THEN 'ERROR' END AS status FROM events GROUP BY user_id""",
+)
 def source_priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-05 as an aggregate: the first answer in source order for each request."""
-    best = F.min_by(F.struct("event_id", "event_type"), F.struct(F.expr(_RANK), "event_id"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(best.alias("b")).select("user_id", "b.event_id", "b.event_type")
+    """WIN-05, ST-01: of repeated requests the first answer that is no error counts, else the last."""
+    own = _answers(spark, sf_dir, "user_id", F.lit("paper"), F.when(F.col("event_type") == "view", 503).otherwise(200))
+    return records.settle(own).select("request_key", "seq", "status")
 
 
-@query("circuit_breaker", "SELECT event_id, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS locked FROM events")
+@query(
+    "circuit_breaker",
+    """SELECT event_id AS seq, CASE WHEN bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) THEN 'ERROR' END AS status,
+              CASE WHEN bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) THEN 'HTTP 403 (access denied)' END AS reason FROM events""",
+)
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-06 without a running window: the first failure of each endpoint is an aggregate, later requests are compared with it."""
-    own = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    first = own.filter("event_type = 'error'").groupBy("user_id").agg(F.min("event_id").alias("lock"))
-    return own.join(first, "user_id", "left").select("event_id", F.coalesce(F.col("event_id") > F.col("lock"), F.lit(False)).alias("locked"))
+    """WIN-06, ST-02: after an endpoint refuses access, its later requests fail for the same reason."""
+    own = _answers(spark, sf_dir, "event_id", F.col("user_id"), F.when(F.col("event_type") == "error", 403).otherwise(200))
+    return records.settle(own).select("seq", "status", "reason")
 
 
 @query("first_per_key", "SELECT doc_id, text AS key FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -216,10 +208,9 @@ def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.first_entries(own.withColumn("first_doc", F.col("ordinal"))).select(F.col("first_doc").alias("doc_id"), "key")
 
 
-@query("duplicate_keys", "SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+@query("duplicate_keys", "SELECT lang AS doc_id, 'duplicate key, the claim check uses its first entry: ' || md5(text) AS note FROM documents GROUP BY lang, text HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return own.select(F.md5(F.col("text").cast("binary")).alias("digest"), "n")
+    return consistency.duplicate_keys(table(spark, sf_dir, "documents").select(F.col("lang").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key")))
 
 
 # --- joins and aggregates -------------------------------------------------------------------------------------------------
@@ -241,38 +232,56 @@ def defined_but_uncited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "consistency_summary",
-    """WITH c AS (SELECT l.doc_id, d.source FROM labels l JOIN documents d USING (doc_id)), u AS (SELECT source, doc_id FROM documents)
-       SELECT u.source, count(*) AS defined, count(c.doc_id) AS cited, count(*) - count(c.doc_id) AS uncited, count(*) = count(c.doc_id) AS consistent
-       FROM u LEFT JOIN (SELECT DISTINCT doc_id FROM c) c USING (doc_id) GROUP BY u.source""",
+    """WITH o AS (SELECT o_custkey AS doc_id, list_distinct(list('k' || o_orderkey % 5)) AS c, list_distinct(list('k' || o_orderkey % 3)) AS d FROM orders GROUP BY o_custkey)
+       SELECT doc_id, CAST(len(c) AS INTEGER) AS cited, CAST(len(d) AS INTEGER) AS defined, CAST(len(list_filter(c, lambda x: NOT list_contains(d, x))) AS INTEGER) AS undefined,
+              CAST(len(list_filter(d, lambda x: NOT list_contains(c, x))) AS INTEGER) AS uncited, len(list_intersect(c, d)) = len(c) AND len(c) = len(d) AS consistent FROM o""",
 )
 def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("source", "doc_id"), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("hit")).distinct()
-    per = docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("defined"), F.count("hit").alias("cited"))
-    return per.select("source", "defined", "cited", (F.col("defined") - F.col("cited")).alias("uncited"), (F.col("defined") == F.col("cited")).alias("consistent"))
+    """AGG-04, SET-02: a document for each customer, which cites and defines keys made from its orders."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")
+    cite = F.concat(F.lit("\\cite{k"), F.col("o_orderkey") % 5, F.lit("}"))
+    docs = orders.groupBy("doc_id").agg(F.array_join(F.collect_list(cite), " ").alias("text"))
+    defined = orders.select("doc_id", F.concat(F.lit("k"), F.col("o_orderkey") % 3).alias("key"))
+    size = lambda c, n: F.size(c).alias(n)
+    return consistency.check(docs, defined).select("doc_id", size("cited_keys", "cited"), size("defined_keys", "defined"), size("cited_but_undefined", "undefined"), size("defined_but_uncited", "uncited"), "consistent")
 
 
-@query("verdict_rollup", "SELECT quality, bool_or(toxic = 1) AS any_toxic, count(*) FILTER (WHERE toxic = 1) AS n_toxic, count(*) AS n FROM labels GROUP BY quality")
+@query(
+    "verdict_rollup",
+    """SELECT quality AS doc_id, 'verdict' AS kind, CASE toxic WHEN 1 THEN 'SUSPICIOUS' WHEN 0 THEN 'SUPPORTED' END AS value, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY ALL
+       UNION ALL SELECT quality, 'lookup_status', CASE doc_id % 2 WHEN 0 THEN 'found' ELSE 'absent' END, count(*) FROM labels GROUP BY ALL""",
+)
 def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toxic = F.col("toxic") == 1
-    return table(spark, sf_dir, "labels").groupBy("quality").agg(F.bool_or(toxic).alias("any_toxic"), F.count_if(toxic).alias("n_toxic"), F.count(F.lit(1)).alias("n"))
+    """AGG-03, SUP-09: claims by verdict and by lookup status."""
+    verdict = F.when(F.col("toxic") == 1, "SUSPICIOUS").when(F.col("toxic") == 0, "SUPPORTED")
+    own = table(spark, sf_dir, "labels").select(F.col("quality").alias("doc_id"), verdict.alias("verdict"), F.when(F.col("doc_id") % 2 == 0, "found").otherwise("absent").alias("lookup_status"))
+    return judging.summary(own)
 
 
-@query("status_counts_zero_filled", "SELECT s.status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY s.status")
+_STATUS_OF = "CASE o_orderstatus WHEN 'F' THEN 'MATCH' WHEN 'O' THEN 'MISMATCH_MINOR' WHEN 'P' THEN 'SOURCE_ERROR' END"
+
+
+@query(
+    "status_counts_zero_filled",
+    f"""WITH o AS (SELECT o_orderpriority AS doc_id, {_STATUS_OF} AS status FROM orders)
+        SELECT d.doc_id, s.status, count(o.status) AS n FROM (SELECT DISTINCT doc_id FROM o) d CROSS JOIN (VALUES {", ".join(f"('{x}')" for x in references.STATUSES)}) s(status)
+        LEFT JOIN o ON o.doc_id = d.doc_id AND o.status = s.status GROUP BY ALL""",
+)
 def status_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-02: one pass, one conditional count for each value of the enumeration."""
-    known = ("F", "O", "P", "X")
-    one = table(spark, sf_dir, "orders").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s) for s in known])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in known])).alias("x")).select("x.status", "x.n")
+    """AGG-02: a row for each status, also where no entry has it."""
+    return references.status_counts(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("doc_id"), F.expr(_STATUS_OF).alias("status")))
 
 
 @query(
     "reason_concatenation",
-    "SELECT o_custkey, string_agg(o_orderstatus, ' · ' ORDER BY o_orderkey) AS reasons FROM orders GROUP BY o_custkey",
+    "SELECT o_custkey, 'SOURCE_ERROR' AS status, string_agg('crossref: ' || o_orderstatus, ' · ' ORDER BY o_orderkey) AS reason FROM orders GROUP BY o_custkey",
 )
 def reason_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(told.alias("t"))
-    return per.select("o_custkey", F.array_join(F.transform("t", lambda x: x["o_orderstatus"]), references.SEPARATOR).alias("reasons"))
+    """AGG-01, AGG-09: what failed sources said, in order."""
+    one = F.struct("o_orderkey", F.lit("crossref").alias("source"), F.lit("ERROR").alias("status"), F.col("o_orderstatus").alias("reason"))
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("lookups"))
+    checks = F.array().cast("array<struct<match:boolean,severity:string>>")
+    return references.with_verdict(per.withColumn("checks", checks)).select("o_custkey", "status", "reason")
 
 
 @query("no_source_answered", "SELECT user_id, bool_and(event_type = 'error') AS no_source FROM events WHERE event_type <> 'view' GROUP BY user_id")
@@ -301,15 +310,32 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(tree, "$.page", "string").alias("page"), F.try_variant_get(tree, "$.ref", "string").alias("ref"))
 
 
+def similar_titles(queries: DataFrame, titles: DataFrame, most: int = records.TITLE_HITS, block_rows: int = 2000) -> DataFrame:
+    """For each title of ``queries`` (query_id, title) the ``most`` most similar others of ``titles`` (title_id, title), at ``TITLE_LEAST`` or more.
+
+    Every query meets every different title, in blocks of about ``block_rows``;
+    ties go to the smaller ``title_id``. Lengths rule out pairs first: of two
+    texts no more than the shorter can be common. Equal titles are one, named
+    by their smallest id; a title that equals the query's own is no answer.
+    """
+    own = titles.filter("title <> ''").groupBy("title").agg(F.min("title_id").alias("title_id"))
+    blocks = max(1, -(-own.count() // block_rows))
+    dealt = own.select("title_id", F.col("title").alias("other"), F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.filter("title <> ''").select("query_id", "title", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    a, b = F.length("title"), F.length("other")
+    # folding takes letters away, at most those of markup, marks and runs of space; where there is none, lengths hold
+    plain = lambda c: ~c.rlike(r"[^A-Za-z0-9 .,:;?!]|  ")
+    near = ~(plain(F.col("title")) & plain(F.col("other"))) | (2 * F.least(a, b) >= records.TITLE_LEAST * (a + b) - 4)
+    rated = asked.join(dealt, "block").filter((F.col("title") != F.col("other")) & near).withColumn("ratio", similarity.title_similarity("title", "other")).filter(F.col("ratio") >= records.TITLE_LEAST)
+    w = Window.partitionBy("query_id").orderBy(F.desc("ratio"), "title_id")
+    return rated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "rank", "title_id", "ratio")
+
+
 @query("title_similarity_topk")
 def title_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-08: for each page title the most similar other title that shares its first two words, at 0.60 or more (a top-1 report)."""
-    own = page_titles(spark, sf_dir).withColumn("block", F.lower(F.substring_index("title", " ", 2)))
-    titles = own.groupBy("title", "block").agg(F.min("page_id").alias("page_id"))
-    other = titles.select(F.col("page_id").alias("other_id"), F.col("title").alias("other_title"), "block")
-    both = titles.join(other, "block").filter("page_id <> other_id")
-    rated = both.withColumn("ratio", similarity.title_similarity("title", "other_title")).filter(F.col("ratio") >= records.TITLE_LEAST)
-    return rated.groupBy("page_id").agg(F.max_by(F.struct("other_id", "ratio"), F.struct("ratio", -F.col("other_id"))).alias("b")).select("page_id", "b.other_id", "b.ratio")
+    """STR-10, LIM-01: for each page whose id is divisible by 20 (the stated query set) the five most similar titles of all pages."""
+    own = page_titles(spark, sf_dir)
+    return similar_titles(own.filter("page_id % 20 = 0").select(F.col("page_id").alias("query_id"), "title"), own.select(F.col("page_id").alias("title_id"), "title"))
 
 
 # --- identifiers, fields and responses: literal tables --------------------------------------------------------------------
@@ -383,41 +409,48 @@ def redact_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal(spark, _SECRETS, "i int, s string").select("i", identifiers.redact(F.col("s")).alias("redacted"))
 
 
-_BIB = """@string{jt = "Journal of Tests"}
-@article{doe2020, title = {A study of many things}, author = {Doe, Jane and Roe, Richard}, year = 2020, journal = jt, doi = {https://doi.org/10.1/MATCH}}
-@article{roe2019, title = {Another study}, author = {Roe, R.}, year = {2019}, doi = "10.1/minor"}
-@book{lost, title = {A book that nobody has}, year = 1999}
-@misc{bare, note = {nothing to look up}}
-"""
-_ANSWERS = [
-    ("crossref", "works", "doi:10.1/match", 1, 200, None, '{"message":{"DOI":"10.1/match","title":["A study of many things"],"author":[{"family":"Doe","given":"Jane"},{"family":"Roe","given":"Richard"}],"issued":{"date-parts":[[2020]]},"container-title":["Journal of Tests"],"abstract":"<p>This abstract is long enough to be used, having over fifty letters.</p>"}}', None),
-    ("crossref", "works", "doi:10.1/minor", 2, 200, None, '{"message":{"DOI":"10.1/minor","title":["Another study"],"author":[{"family":"Roe","given":"R."}],"issued":{"date-parts":[[2020]]}}}', None),
-    ("openalex", "search", "title:A book that nobody has|1999", 3, 200, None, '{"results":[]}', None),
-    ("s2", "paper", "doi:10.1/minor", 4, 200, None, '{"title":"Another study","abstract":"The abstract of the other study is also long enough to be of use here.","externalIds":{"DOI":"10.1/minor"}}', None),
-]
-_TEX = "\\begin{document} Things are studied \\cite{doe2020, roe2019}. As shown in \\citet{lost}, books are lost \\cite{gone}. \\end{document}"
+#: What each customer's entry meets: its service lacks it, fails, or knows it with a year that is off by ``c_custkey % 4``.
+_MISSING, _FAILED = "c_custkey % 5 = 0", "c_custkey % 7 = 3"
 
 
-def _bibliography(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _bibliography(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A manuscript for each customer: (claims text, entries from BibTeX, results of recorded answers)."""
     keep = Tables(spark, "bibliography").keep
-    entries = keep(bibtex.entries(literal(spark, [(1, "refs.bib", 0, _BIB)], "doc_id long, bib_file string, file_no int, text string")))
-    settled = keep(records.settle(literal(spark, _ANSWERS, records.RESPONSES)))
-    hits = keep(records.title_results(settled, references.prepared(entries).select(F.col("title_key").alias("request_key"), "title")))
-    return entries, keep(records.parse(settled)), hits
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("v"))
+    i, year = F.col("c_custkey").cast("string"), F.col("c_custkey") % 30 + 1990
+    bib = F.format_string("@article{k%s, title = {A study of customer %s}, year = %s, volume = {%s}, doi = {https://doi.org/10.1/C%s}}", i, i, year.cast("string"), F.col("v").cast("string"), i)
+    entries = keep(bibtex.entries(own.select(F.col("c_custkey").alias("doc_id"), F.lit("refs.bib").alias("bib_file"), F.lit(0).alias("file_no"), bib.alias("text"))))
+    abstract = "<p>This abstract is long enough to be used, having over fifty letters.</p>"
+    body = F.format_string('{"message":{"DOI":"10.1/c%s","title":["A study of customer %s"],"issued":{"date-parts":[[%s]]},"volume":"%s","abstract":"' + abstract + '"}}', i, i, (year + F.col("c_custkey") % 4).cast("string"), F.col("v").cast("string"))
+    code = F.when(F.expr(_MISSING), 404).when(F.expr(_FAILED), 503).otherwise(200)
+    none = F.lit(None)
+
+    def answers(source: str, status: Column, text: Column) -> DataFrame:
+        return own.select(F.lit(source).alias("source"), F.lit("works").alias("endpoint"), F.concat(F.lit("doi:10.1/c"), i).alias("request_key"), F.col("c_custkey").cast("long").alias("seq"), status.cast("int").alias("http_status"), none.cast("map<string,string>").alias("headers"), text.cast("string").alias("body"), none.cast("string").alias("network_error"))
 
+    rows = answers("crossref", code, body)
+    for source in ("openalex", "datacite", "springer", "s2", "core", "europepmc"):
+        rows = rows.unionAll(answers(source, F.lit(404), none))
+    tex = F.concat(F.lit("\\begin{document} It is known \\cite{k"), i, F.lit("}. \\end{document}"))
+    return own.select(F.col("c_custkey").alias("doc_id"), tex.alias("text")), entries, keep(records.parse(keep(records.settle(rows))))
 
-@query("entry_verdicts", "SELECT * FROM (VALUES ('bare', 'NOT_CHECKED'), ('doe2020', 'MATCH'), ('lost', 'SOURCE_ERROR'), ('roe2019', 'MISMATCH_MINOR')) t(key, status)".replace("SOURCE_ERROR", "NOT_FOUND_IN_ENABLED_SOURCES"))
+
+@query(
+    "entry_verdicts",
+    f"""SELECT 'k' || c_custkey AS key, CASE WHEN {_MISSING} THEN 'NOT_FOUND_IN_ENABLED_SOURCES' WHEN {_FAILED} THEN 'SOURCE_ERROR' WHEN c_custkey % 4 = 0 THEN 'MATCH' WHEN c_custkey % 4 = 1 THEN 'MISMATCH_MINOR' ELSE 'MISMATCH_MAJOR' END AS status,
+        CASE WHEN {_MISSING} THEN 'crossref: not found · openalex: not found · datacite: not found' WHEN {_FAILED} THEN 'crossref: HTTP 503 (server error)' END AS reason FROM customer""",
+)
 def entry_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-05, JOIN-06, JOIN-08 and AGG-01 from BibTeX text and recorded answers."""
-    entries, results, hits = _bibliography(spark)
-    return references.verify(entries, results, hits).select("key", "status")
+    """SRC-04, SRC-10, JOIN-06, AGG-01: verdicts of entries from BibTeX text and recorded answers."""
+    _, entries, results = _bibliography(spark, sf_dir)
+    return references.verify(entries, results).select("key", "status", "reason")
 
 
-@query("claim_evidence", "SELECT * FROM (VALUES ('doe2020', 'found', 'crossref'), ('roe2019', 'found', 's2'), ('lost', 'absent', NULL), ('gone', 'absent', NULL)) t(key, lookup_status, source)")
+@query(
+    "claim_evidence",
+    f"SELECT 'k' || c_custkey AS key, CASE WHEN {_MISSING} THEN 'absent' WHEN {_FAILED} THEN 'source_error' ELSE 'found' END AS lookup_status, CASE WHEN NOT ({_MISSING}) AND NOT ({_FAILED}) THEN 'crossref' END AS source FROM customer",
+)
 def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-26, JOIN-07 and AGG-08: the abstract of each cited work."""
-    entries, results, hits = _bibliography(spark)
-    claims = consistency.claims(literal(spark, [(1, _TEX)], "doc_id long, text string"))
-    missing = [(s, "-", f"doi:10.1/{d}", 9, 404, None, None, None) for s in ("openalex", "datacite", "springer", "core", "europepmc") for d in ("match", "minor")]
-    more = Tables(spark, "bibliography").keep(records.parse(records.settle(literal(spark, missing, records.RESPONSES))))
-    return evidence.find(evidence.works(claims, entries), results.unionByName(more), hits).select("key", "lookup_status", "source")
+    """STR-26, JOIN-02, JOIN-07 and AGG-08: the abstract of each cited work."""
+    docs, entries, results = _bibliography(spark, sf_dir)
+    return evidence.find(evidence.works(consistency.claims(docs), entries), results).select("key", "lookup_status", "source")

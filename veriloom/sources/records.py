@@ -102,7 +102,7 @@ def settle(responses: DataFrame) -> DataFrame:
     locks = F.coalesce((F.col("status") == ERROR) & (F.col("reason").rlike(r"^HTTP 40[13] |allowance used up")), F.lit(False)) | spent
     cause = F.when(spent, F.lit(USED_UP)).otherwise(F.col("reason"))
     first = got.filter(locks).groupBy("source", "endpoint").agg(F.min(F.struct("seq", cause.alias("cause"))).alias("lock"))
-    both = got.join(F.broadcast(first), ["source", "endpoint"], "left")  # one row an endpoint
+    both = got.join(first, ["source", "endpoint"], "left")  # one row an endpoint
     late = F.coalesce(F.col("seq") > F.col("lock.seq"), F.lit(False))
     both = both.withColumn("status", F.when(late, ERROR).otherwise(F.col("status"))).withColumn("reason", F.when(late, F.col("lock.cause")).otherwise(F.col("reason"))).drop("lock")
     failed = F.coalesce(F.col("status") == ERROR, F.lit(False))

@@ -1,8 +1,7 @@
 """LaTeX documents as tables: files, include expansion, document texts and declared bibliographies.
 
 ``files`` is (doc_id, path, is_main, text): the files of each document, paths
-relative to a common folder. A document's files are grouped to expand its
-includes; a document is one group, so groups are as small as documents.
+relative to a common folder. Includes are expanded by joins, level by level.
 """
 
 from __future__ import annotations
@@ -12,8 +11,10 @@ import posixpath
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veriloom.functions.latex import INCLUDE, bibliography_files, embedded_bib_keys, has_embedded_bibliography, masked
+from veriloom.functions.latex import bibliography_files, embedded_bib_keys, has_embedded_bibliography, include_directives
+from veriloom.plans.tables import Tables
 
 DEPTH = 10
 
@@ -36,40 +37,74 @@ def invalid_files(files: DataFrame) -> DataFrame:
     return files.filter("not valid").select("doc_id", F.concat(F.substring_index("path", "/", -1), F.lit(" is not valid UTF-8")).alias("note"))
 
 
-def resolve(name: str, root: str, here: str, have) -> str | None:
-    """Path of an included file: from the main file's folder, then the including file's; with the suffix first."""
+def include_paths(name: str, root: str, here: str) -> list[str]:
+    """Where an included file may be, best first: in the main file's folder, then the including file's; with the suffix first."""
     names = [name] if name.endswith(".tex") else [name + ".tex", name]
-    paths = (posixpath.normpath(posixpath.join(base, n)) for base in (root, here) for n in names)
-    return next((p for p in paths if p in have), None)
+    return [posixpath.normpath(posixpath.join(folder, n)) for folder in (root, here) for n in names]
 
 
-def expand(path: str, texts: dict[str, str], root: str, stack: tuple[str, ...] = ()) -> str:
-    """Text of a file with its includes in place; cycles, unknown files and commented directives are left as they are."""
-    stack = stack or (path,)
-    text = texts[path]
-    if len(stack) > DEPTH:
-        return text
+def parts(text: str) -> list[tuple[str, str | None]]:
+    """A file as a list of (text, None) and (include command as it stands, file name), in order."""
     out, at = [], 0
-    for m in INCLUDE.finditer(masked(text)):
-        child = resolve(m[1].strip(), root, posixpath.dirname(path), texts)
-        if child is not None and child not in stack:
-            out += [text[at : m.start()], expand(child, texts, root, (*stack, child))]
-            at = m.end()
-    return "".join(out) + text[at:]
+    for name, start, end in include_directives(text):
+        out += [(text[at:start], None), (text[start:end], name)]
+        at = end
+    return [*out, (text[at:], None)]
 
 
-def _expand_group(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
-    texts = {posixpath.normpath(p): t or "" for p, t in zip(files["path"], files["text"], strict=True) if p}
-    mains = sorted(posixpath.normpath(p) for p, m in zip(files["path"], files["is_main"], strict=True) if p and m)
-    rows = [(key[0], p, expand(p, texts, posixpath.dirname(p))) for p in mains]
-    return pd.DataFrame(rows, columns=["doc_id", "path", "text"])
+_PART = T.StructType([T.StructField("text", T.StringType()), T.StructField("name", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_PART))
+def _parts(text: pd.Series) -> pd.Series:
+    return pd.Series([[{"text": a, "name": b} for a, b in parts(t if isinstance(t, str) else "")] for t in text])
+
+
+@F.pandas_udf(T.StringType())
+def _normal(path: pd.Series) -> pd.Series:
+    return path.map(lambda p: posixpath.normpath(p) if isinstance(p, str) and p else None)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _paths(name: pd.Series, main: pd.Series, here: pd.Series) -> pd.Series:
+    folder = posixpath.dirname
+    return pd.Series([include_paths(n, folder(m), folder(h)) for n, m, h in zip(name, main, here, strict=True)])
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """(doc_id, path, text): each main file with its includes expanded."""
-    kind = files.schema["doc_id"].dataType.simpleString()
-    tex = files.filter("path not like '%.bib'").select("doc_id", "path", "is_main", "text")
-    return tex.groupBy("doc_id").applyInPandas(_expand_group, f"doc_id {kind}, path string, text string")
+    """(doc_id, path, text): each main file with its includes expanded.
+
+    Files become rows of parts, and include commands are joined with the files
+    they name, level by level, down to ``DEPTH`` levels; a command stays as it
+    is if no file fits or the file includes itself. ``at`` is the place of a
+    part, one number for each level.
+    """
+    keep = Tables(files.sparkSession, "includes").keep
+    tex = files.filter("path not like '%.bib'").select("doc_id", _normal("path").alias("path"), "is_main", "text").filter("path is not null")
+    own = keep(tex.select("doc_id", "path", "is_main", F.posexplode(_parts("text")).alias("n", "part")).select("doc_id", "path", "is_main", "n", "part.*"))
+    first = own.filter("is_main").select("doc_id", F.col("path").alias("main"), F.col("path").alias("here"), F.array("path").alias("above"), F.array("n").alias("at"), "text", "name")
+    names = own.select(F.col("doc_id").alias("_doc"), F.col("path").alias("_path")).distinct()
+    below = own.select(F.col("doc_id").alias("_doc"), F.col("path").alias("_path"), F.col("n").alias("_n"), F.col("text").alias("_text"), F.col("name").alias("_name"))
+    level, done = keep(first), []
+    for _ in range(DEPTH):
+        done.append(level.filter("name is null"))
+        asked = level.filter("name is not null")
+        if asked.isEmpty():
+            break
+        tried = asked.select("*", F.posexplode(_paths("name", "main", "here")).alias("rank", "path")).join(names, (F.col("doc_id") == F.col("_doc")) & (F.col("path") == F.col("_path")), "left")
+        best = tried.groupBy("doc_id", "main", "here", "above", "at", "text", "name").agg(F.min_by("_path", F.when(F.col("_path").isNotNull(), F.col("rank"))).alias("child"))
+        best = keep(best)
+        fits = F.col("child").isNotNull() & ~F.array_contains("above", F.col("child"))
+        done.append(best.filter(~F.coalesce(fits, F.lit(False))).drop("child"))
+        both = best.filter(fits).join(below, (F.col("doc_id") == F.col("_doc")) & (F.col("child") == F.col("_path")))
+        level = keep(both.select("doc_id", "main", F.col("child").alias("here"), F.concat("above", F.array("child")).alias("above"), F.concat("at", F.array("_n")).alias("at"), F.col("_text").alias("text"), F.col("_name").alias("name")))
+    else:
+        done.append(level)  # commands of the deepest level stay
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    laid = every.groupBy("doc_id", "main").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"))  # the parts of one document
+    return laid.select("doc_id", F.col("main").alias("path"), F.array_join(F.transform("x", lambda x: x["text"]), "").alias("text"))
 
 
 def bibliographies(docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
