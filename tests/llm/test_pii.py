@@ -71,6 +71,76 @@ def test_looser_forms_are_added_and_plain_numbers_are_not(spark):
     assert got[903] == ""
 
 
+def test_added_spans_of_unseen_examples(spark):
+    """Planted spans and near misses that nothing was learned from: precision and recall of what is added, by kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    boosters = pii.fit(docs)
+    assert set(boosters) == set(pii.KINDS)
+
+    def used(t):
+        return set() if isinstance(t, float) else {pii.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+
+    features = {k: set().union(*map(used, b.trees)) for k, b in boosters.items()}
+    assert all(features.values()) and sum(bool(f & {"cue", "other"}) for f in features.values()) >= 3
+    words = "harbour mountain quietly river seven yellow garden letter morning wooden".split()
+    rows, truth = [], {}
+    for k in pii.KINDS:
+        for r in pii.planted(k, words, 400, 77):
+            truth[len(rows)] = (k, *r[1:])
+            rows.append((len(rows), r[0]))
+    found = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), boosters).collect()}
+    for k in pii.KINDS:
+        hit = {i: any(x[0] == k and int(x[1]) < e and s < int(x[2]) for x in found[i]) for i, (kind, s, e, _) in truth.items() if kind == k}
+        right, wrong = sum(hit[i] for i in hit if truth[i][3]), sum(hit[i] for i in hit if not truth[i][3])
+        print(f"{k}: recall {right / 200:.3f}, precision {right / max(right + wrong, 1):.3f}, threshold {boosters[k].threshold:.3f}, features {sorted(features[k])}")
+        assert right >= 0.9 * 200 and right >= 0.9 * (right + wrong)
+
+
+def test_overlaps_are_settled_in_one_sweep(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for n in range(60):
+        rows.append(sorted((s := rng.randrange(400), s + rng.randrange(1, 12), rng.randrange(4), rng.choice([0.5, 0.6, 0.7, 0.9, 2.0])) for _ in range(rng.choice([0, 1, 5, 40, 300]))))
+
+    def plain(items):
+        held, reach, out = None, 0, []
+        for c in items:
+            if c[3] > 1:
+                if held and held[1] <= c[0]:
+                    out.append(held)
+                held, reach = None, max(reach, c[1])
+            elif c[0] >= reach:
+                if held and held[1] <= c[0]:
+                    out.append(held)
+                    held = c
+                elif not held or c[3] > held[3]:
+                    held = c
+        return out + [held] * bool(held)
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<struct<s:int,e:int,k:int,p:double>>")
+    got = {r.i: [tuple(y) for y in r.y] for r in df.select("i", pii.settled(F.col("x")).alias("y")).collect()}
+    assert got == {i: plain(r) for i, r in enumerate(rows)}
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "a@b.cc and 10 . 0 . 0 . 1 or " * n)], "doc_id long, text string")
+        start = time.time()
+        row = pii.find(df, boosters).collect()[0]
+        assert row.n_email == n
+        return time.time() - start
+
+    boosters = {"ip": pii.Booster(0.0, [1.0], 0.1)}
+    took(10)
+    small, large = took(5000), took(50_000)
+    print(f"10,000 matches {small:.1f} s, 100,000 matches {large:.1f} s")
+    assert large < 25 * small + 5
+
+
 def test_trees_as_expression_equal_trees(spark):
     import random
 
