@@ -23,7 +23,7 @@ def test_links_digests_and_lengths(spark):
         assert r.content_length == len(raw) and r.block_digest == "sha256:" + hashlib.sha256(raw).hexdigest()
         assert r.source_payload_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
         assert f"WARC-Refers-To: {r.refers_to}\r\n" in r.record and r.record.endswith(r.block + "\r\n\r\n")
-    assert "source-header: HTTP/1.1 200 OK\r\n" in m.block and "outlink: /x\r\n" in m.block and "title: A &amp; B\r\n" in m.block
+    assert "source-header: HTTP/1.1 200 OK\r\n" in m.block and "outlink: /x\r\n" in m.block and "title: A & B\r\n" in m.block
 
 
 def test_split_response(spark):
@@ -39,3 +39,20 @@ def test_edges(spark):
     raw = spark.createDataFrame([(None, None, None, None, None, 5)], "record_id string, target_uri string, warc_date string, http_head string, payload string, key int")
     assert [(r.key, r.refers_to, r.block) for r in warc.derive(raw).collect()][1] == (5, None, "")
     assert warc.derive(raw.limit(0)).count() == 0
+
+
+def test_character_references(spark):
+    html = "<title>a&nbsp;&#8212;&#x41;&eacute;&lt;b&gt;&#10;&bogus;</title><p>&copy; x &middot y &notin; &#128; &amp;lt; &#0;</p><a href='/q?a=1&amp;copy=2&copy=3&lt&#10;&sect;&x;'>z</a>"
+    m, c = sorted(warc.derive(warc.responses_from_pages(spark.createDataFrame([(1, None, html)], "page_id int, url string, html string"))).collect(), key=lambda r: r.warc_type, reverse=True)
+    assert "title: a \u2014A\u00e9<b> &bogus;\r\n" in m.block and "outlink: /q?a=1&copy=2&copy=3<\u00a7&x;\r\n" in m.block
+    assert c.block == "a \u2014A\u00e9<b>\n&bogus;\n\u00a9 x \u00b7 y \u2209 \u20ac &lt; \ufffd\nz"
+
+
+def test_digests_of_the_source_stay(spark):
+    schema = "record_id string, target_uri string, warc_date string, http_head string, payload string, block_digest string, payload_digest string, Block int, _text int, `a.b` int"
+    out = warc.derive(spark.createDataFrame([("<r>", "u", "d", "H\r\n", "x", "sha1:AB", "md5:cd", 1, 2, 3), ("<q>", "u", "d", "H\r\n", "x", None, None, 4, 5, 6)], schema))
+    assert out.columns == ["_Block", "_text", "a.b", *warc.OUTPUT]
+    rows = {(r.refers_to, r.warc_type): r for r in out.collect()}
+    r, q = rows["<r>", "metadata"], rows["<q>", "conversion"]
+    assert (r._Block, r._text, r["a.b"], r.source_block_digest, r.source_payload_digest) == (1, 2, 3, "sha1:AB", "md5:cd") and "source-payload-digest: md5:cd\r\n" in r.block
+    assert q.source_payload_digest == "sha256:" + hashlib.sha256(b"x").hexdigest() and q.source_block_digest == "sha256:" + hashlib.sha256(b"H\r\n\r\nx").hexdigest()
