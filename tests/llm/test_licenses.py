@@ -58,3 +58,11 @@ def test_edges(spark):
     assert got == {"a/LICENSE": ("none", "none", None), "b/LICENSE": ("none", "none", None), None: ("MIT", "own", None), "c/x": ("none", "none", None), "c/y": ("MIT", "own", None), "c/z": ("MIT", "own", None), "d/LICENSE": ("MIT", "own", None), "d/e": ("MIT", "inherited", "d")}
     df = spark.createDataFrame(rows, "path string, text string")
     assert li.scan(df).count() == len(rows) and li.scan(df.limit(0)).count() == 0
+
+
+def test_words_of_other_licences_count(spark):
+    """A notice that differs from a template in rare words only is another licence; the same with the template's own words is found."""
+    docs = li.document_files(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("path", "text")
+    more = spark.createDataFrame([("own/foo", "x\nReleased under the Foo Community Software License.\ny"), ("own/mit", f"x\n{MIT}\ny")], "path string, text string")
+    got = {r.path: (r.licence, r.how) for r in li.scan(docs.unionAll(more)).filter("path like 'own/%'").collect()}
+    assert got == {"own/foo": ("none", "none"), "own/mit": ("MIT", "own")}

@@ -2,9 +2,8 @@
 
 * Every line of a whole file that names a licence is a passage; so is the whole
   text of a file that is named like a licence file.
-* Passages and templates are TF-IDF vectors. Document frequencies of the
-  templates' words are counted over all files; a word of no template has the
-  least weight a word can have, 1.
+* Passages and templates are TF-IDF vectors; document frequencies of all words
+  are counted over all files.
 * A file whose best passage reaches ``LEAST`` carries that licence. The best
   licence file of a directory licenses the directory; files without a licence
   of their own take it from the nearest directory above them that has one.
@@ -17,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.llm.workspace import Workspace
@@ -71,20 +70,22 @@ def words(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), SPLIT), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
 
 
-def _weights(files: DataFrame) -> DataFrame:
+def _frequencies(files: DataFrame) -> DataFrame:
+    """(word, df): in how many files a word stands. Tasks count their own files first, so a word is shuffled once for each task."""
+    spelled = F.array_distinct(F.split(F.lower("text"), SPLIT))  # "word." and "word" are one word
+    own = F.array_distinct(F.transform(spelled, lambda w: F.trim(w, F.lit("."))))
+    return files.select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter("word <> ''")
+
+
+def _idf(total: int, df: Column) -> Column:
+    return F.log((1 + F.lit(total)) / (1 + F.coalesce(df, F.lit(0)))) + 1
+
+
+def _weights(spark: SparkSession, frequencies: DataFrame, total: int) -> DataFrame:
     """(template, licence, word, w, norm): TF-IDF of the template words, and the norm of each template."""
-    spark = files.sparkSession
-    rows = template_words()
-    vocabulary = sorted({r[2] for r in rows})
-    schema = "template int, licence string, word string, n int"
-    templates = F.broadcast(spark.createDataFrame(rows, schema))
-    # "word." and "word" are one word, so both spellings are looked up before the dot goes
-    spelled = F.array(*[F.lit(x) for w in vocabulary for x in (w, w + ".")])
-    own = F.array_distinct(F.transform(F.array_intersect(F.split(F.lower("text"), SPLIT), spelled), lambda w: F.trim(w, F.lit("."))))
-    frequency = files.select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    total = files.count()
-    idf = templates.join(frequency, "word", "left").withColumn("idf", F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1)
-    out = idf.select("template", "licence", "word", "idf", (F.col("n") * F.col("idf")).alias("w"))
+    templates = F.broadcast(spark.createDataFrame(template_words(), "template int, licence string, word string, n int"))
+    known = frequencies.join(templates.select("word").distinct(), "word", "left_semi")
+    out = templates.join(known, "word", "left").select("template", "licence", "word", (F.col("n") * _idf(total, F.col("df"))).alias("w"))
     norms = out.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return out.join(F.broadcast(norms), "template")
 
@@ -107,7 +108,8 @@ def scan(files: DataFrame, *, keys: tuple[str, ...] = ("path",), ws: Workspace |
     ws = ws or Workspace(spark, "licences")
     keys = tuple(k for k in keys if k != "path")
     own = files.select(*[F.col(k) for k in keys], F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    weights = ws.save(_weights(own), "weights")  # as many rows as the templates have words
+    total, frequencies = own.count(), ws.save(_frequencies(own), "frequencies")
+    weights = ws.save(_weights(spark, frequencies, total), "weights")  # as many rows as the templates have words
     name = F.element_at(F.split("path", "/"), -1)
     is_file = F.coalesce(name.rlike(FILE_NAME), F.lit(False))
     directory = F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]*$", 1), "/+$", "")
@@ -118,8 +120,7 @@ def scan(files: DataFrame, *, keys: tuple[str, ...] = ("path",), ws: Workspace |
     found = found.select(F.xxhash64("passage").alias("pid"), "passage").dropDuplicates(["pid"])
     # similarity is computed once for each different passage
     counted = found.select("pid", F.explode(words(F.col("passage"))).alias("word")).groupBy("pid", "word").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.broadcast(weights.select("word", "idf").distinct())
-    valued = counted.join(idf, "word", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0)))
+    valued = ws.save(counted.join(frequencies, "word", "left").select("pid", "word", (F.col("n") * _idf(total, F.col("df"))).alias("v")), "valued")
     norm = valued.groupBy("pid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own_norm"))
     dots = valued.join(F.broadcast(weights.select("template", "licence", "word", "w", "norm")), "word").groupBy("pid", "template", "licence", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     alike = dots.join(norm, "pid").select("pid", "licence", (F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")) * 1e6).cast("long") / F.lit(1e6)).alias("similarity")).filter(F.col("similarity") >= LEAST)
@@ -178,12 +179,12 @@ def oracle() -> str:
       df AS (SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({split.replace("X", "text")})) AS word FROM documents) GROUP BY word),
       w AS (SELECT template, licence, t.word, ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(df, 0))) + 1 AS idf, n FROM t LEFT JOIN df ON df.word = t.word),
       tn AS (SELECT template, sqrt(sum(n * idf * n * idf)) AS norm FROM w GROUP BY template),
-      iw AS (SELECT DISTINCT word, idf FROM w),
+      iw AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM df),
       p AS (
         SELECT doc_id, unnest(list_distinct(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {q(CUE)})), CASE WHEN is_file THEN [text] ELSE [] END))) AS passage FROM g),
       d AS (SELECT row_number() OVER () AS pid, passage FROM (SELECT DISTINCT passage FROM p)),
       c AS (SELECT pid, word, count(*) AS n FROM (SELECT pid, unnest({split.replace("X", "passage")}) AS word FROM d) GROUP BY pid, word),
-      v AS (SELECT pid, c.word, c.n * coalesce(idf, 1.0) AS v FROM c LEFT JOIN iw ON iw.word = c.word),
+      v AS (SELECT pid, c.word, c.n * idf AS v FROM c JOIN iw ON iw.word = c.word),
       pn AS (SELECT pid, sqrt(sum(v * v)) AS own FROM v GROUP BY pid),
       a AS (SELECT v.pid, licence, CAST(round(sum(v.v * w.n * w.idf) / (any_value(tn.norm) * any_value(pn.own)) * 1e6) AS BIGINT) / CAST(1e6 AS DOUBLE) AS s
         FROM v JOIN w ON w.word = v.word JOIN tn ON tn.template = w.template JOIN pn ON pn.pid = v.pid GROUP BY v.pid, w.template, licence),
