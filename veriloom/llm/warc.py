@@ -188,14 +188,15 @@ def record_text(derived: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for :func:`derive` over :func:`responses_from_pages` of the table ``pages``, for references that end in a semicolon (tests cover the others)."""
+    """DuckDB SQL for :func:`derive` over :func:`responses_from_pages` of the table ``pages``."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     text = "html"
     for pattern in HIDDEN:
         text = f"regexp_replace({text}, {q(pattern)}, '', 'g')"
     text = f"regexp_replace({text}, '[\\r\\n]+', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {q(BREAKS)}, chr(10), 'g'), {q(TAGS)}, '', 'g')"
-    names = ", ".join(f"({q(n)}, {q(c)})" for n, c in html5.items() if n.endswith(";"))
+    bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))  # names that count without a semicolon, the longest first
+    names = ", ".join(f"({q(n)}, {q(c)})" for n, c in html5.items())
     clean = "replace(t.v, chr(160), ' ')"
     clean = f"trim(regexp_replace(regexp_replace({clean}, {q(SPACES)}, ' ', 'g'), {q(LINE_ENDS)}, chr(10), 'g'), ' ' || chr(10))"
     uuid = lambda h: f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-5' || substr({h},14,3) || '-8' || substr({h},18,3) || '-' || substr({h},21,12) || '>'"
@@ -209,9 +210,12 @@ def oracle() -> str:
       parts AS (SELECT n, 'text' AS k, 0 AS i, {text} AS v FROM r UNION ALL SELECT n, 'title', 0, regexp_extract(html, {q(TITLE)}, 1) FROM r
         UNION ALL SELECT n, 'link', unnest(range(len(l))), unnest(l) FROM (SELECT n, regexp_extract_all(html, {q(LINKS)}, 1) AS l FROM r)),
       pieces AS (SELECT n, k, i, unnest(range(len(a))) AS j, unnest(a) AS s FROM (SELECT n, k, i, string_split(v, '&') AS a FROM parts)),
-      refs AS (SELECT *, CASE WHEN j > 0 THEN regexp_extract(s, '^(#[xX][0-9a-fA-F]+;|#[0-9]+;|[A-Za-z][A-Za-z0-9]*;)') ELSE '' END AS x FROM pieces),
-      known AS (SELECT n, k, i, j, s, x, CASE WHEN x LIKE '#x%' OR x LIKE '#X%' THEN chr(CAST('0x' || x[3:-2] AS INTEGER)) WHEN x LIKE '#%' THEN chr(CAST(x[2:-2] AS INTEGER)) ELSE c END AS c
-        FROM refs LEFT JOIN (VALUES {names}) e(name, c) ON name = x),
+      refs AS (SELECT *, CASE WHEN j > 0 THEN regexp_extract(s, '^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;)') ELSE '' END AS x,
+        CASE WHEN j = 0 THEN '' WHEN k = 'link' THEN regexp_extract(s, '^({bare})(?:$|[^A-Za-z0-9=;])', 1) ELSE regexp_extract(s, '^({bare})') END AS y FROM pieces),
+      names(name, c) AS (VALUES {names}),
+      known AS (SELECT n, k, i, j, s, CASE WHEN x LIKE '#%' OR e.c IS NOT NULL THEN x ELSE y END AS x,
+        CASE WHEN x LIKE '#x%' OR x LIKE '#X%' THEN chr(CAST('0x' || rtrim(x[3:], ';') AS INTEGER)) WHEN x LIKE '#%' THEN chr(CAST(rtrim(x[2:], ';') AS INTEGER)) ELSE coalesce(e.c, f.c) END AS c
+        FROM refs LEFT JOIN names e ON e.name = x LEFT JOIN names f ON f.name = y),
       whole AS (SELECT n, k, i, string_agg(CASE WHEN j = 0 THEN s WHEN c IS NULL THEN '&' || s ELSE c || substr(s, len(x) + 1) END, '' ORDER BY j) AS v FROM known GROUP BY n, k, i),
       s AS (SELECT page_id, url, head, {uuid("h")} AS id, {clean} AS txt, 'sha256:' || sha256(html) AS pd, 'sha256:' || sha256(head || {crlf} || html) AS bd,
         trim(regexp_replace(i.v, '[ \\t\\r\\n' || chr(160) || ']+', ' ', 'g')) AS title, regexp_extract(html, {q(LANGUAGE)}, 1) AS lang, coalesce(l.links, []) AS links
