@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tests.llm.moved import shuffled
 from veriloom.llm import minhash
 from veriloom.llm.components import connected_components
 from veriloom.llm.workspace import Workspace
@@ -107,3 +108,17 @@ def test_components(spark, shape):
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     got = {r.node: r.component for r in connected_components(df, Workspace(spark, "test")).collect()}
     assert got == ({i: 0 for i in range(1, n + 1)} if shape == "chain" else {i: 0 for i in range(1, n)} | {101: 100})
+
+
+def test_texts_without_candidates_are_not_moved(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400)) for _ in range(50))) for i in range(150)]
+    rows += [(200, rows[3][1] + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = []
+        assert shuffled(spark, lambda: got.extend(map(tuple, minhash.drop_near_duplicates(df).collect()))) < 1_500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got) == rows[:150]
