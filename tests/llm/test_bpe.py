@@ -62,3 +62,18 @@ def test_nulls_clashing_columns_and_empty_table(spark):
     assert sorted(r.n_tokens for r in rows) == [0, 0, 1, 1]
     assert {r.decoded for r in rows} == {"", "ab</w>"}
     assert bpe.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_a_worker_that_is_used_again_holds_no_pairs_or_words(spark, sf_dir):
+    bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), PATH).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            used = bpe.loaded.cache_info().currsize > 0
+            own = bpe.loaded(PATH) if used else None
+            yield pa.RecordBatch.from_pydict({"used": [used], "n": [len(own._valid) + len(own._chunks) + len(own._chunks.old) if used else 0]})
+
+    rows = spark.range(0, 64, 1, 8).mapInArrow(held, "used boolean, n long").collect()
+    assert any(r.used for r in rows) and {r.n for r in rows} == {0}

@@ -76,3 +76,13 @@ def test_a_small_share_of_the_sample_leaves_no_language_out(spark, monkeypatch):
     monkeypatch.setattr(langid, "SAMPLE_ROWS", 8)
     docs = spark.createDataFrame([(i, f"{'abcd'[i % 4] * 3} {i}", "abcd"[i % 4]) for i in range(2000)], "doc_id long, text string, lang string")
     assert langid.fit(docs).labels == list("abcd")
+
+
+def test_the_stage_sends_only_texts_to_python_and_keeps_what_is_identified(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("a.b", F.col("doc_id") + 1)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, "1 2").when(F.col("doc_id") % 10 == 4, "qxzj").otherwise(F.col("text")))
+    out = langid.reject_unidentified(docs)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    found = langid.identify(docs).filter("lang_pred <> 'und' and score >= 0.3")
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in found.collect())

@@ -90,6 +90,7 @@ class WordBPE:
         raw = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         self.offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
         self.blob = b"".join(raw)
+        self.token = {str(i): x.decode() for i, x in enumerate(raw)}
         self._bytes = {b: self.letters[b] for b in range(256)}
         self._chunks = _Chunks(self)
 
@@ -162,11 +163,16 @@ class WordBPE:
                 at -= length[r]
         return out
 
-    def _encoded_piece(self, piece: str) -> tuple[str, str]:
+    def forget(self) -> None:
+        """Let go of all words and pairs met so far. Both, as they lie between each other in memory, and few pairs that stay would hold all of it."""
+        self._chunks.forget()
+        self._valid.clear()
+
+    def _encoded_piece(self, piece: str) -> str:
         letters = self._bytes
         symbols = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
         ids = [self.rank_id[r] for r in self.encode_word(symbols[:-1] + chr(ord(symbols[-1]) + self._END))]
-        return " ".join(map(str, ids)), self.decode(ids)
+        return " ".join(map(str, ids))
 
     def decode(self, ids) -> str:
         """Tokens of ``ids`` one after another, joined by one space, read from the offset table."""
@@ -180,11 +186,11 @@ class WordBPE:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no rule for a final sigma
 
-    def _segment(self, text: str) -> list[tuple[str, str]]:
+    def _segment(self, text: str) -> list[str]:
         text = self._normal(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python splits there, the vocabulary's white space does not
             return [self._chunks[p] for p in self._piece.findall(text)]
-        return [x for x in map(self._chunks.__getitem__, text.split()) if x[0]]
+        return [x for x in map(self._chunks.__getitem__, text.split()) if x]
 
     def encode_text(self, text: str | None) -> tuple[str, str]:
         """(decimal ids joined by one space, decoded text) of a whole text; null counts as empty."""
@@ -192,16 +198,17 @@ class WordBPE:
             return "", ""
         if len(self._chunks) > WORDS_AT_MOST:
             self._chunks.age()
-        out: list[tuple[str, str]] = []
+        out: list[str] = []
         if self._special is None or not any(s in text for s in self.specials):
             out = self._segment(text)
         else:
             for part in self._special.split(text):
                 if part in self.specials:
-                    out.append((str(self.specials[part]), part))
+                    out.append(str(self.specials[part]))
                 elif part:
                     out += self._segment(part)
-        return " ".join([x[0] for x in out]), " ".join([x[1] for x in out])
+        ids = " ".join(out)
+        return ids, " ".join(map(self.token.__getitem__, ids.split(" "))) if ids else ""
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.encode_text(text)[0]
@@ -209,12 +216,12 @@ class WordBPE:
 
 
 class _Chunks(dict):
-    """(ids, decoded) of each run of text between white space, filled on demand; two generations bound its size."""
+    """Decimal ids of each run of text between white space, filled on demand; two generations bound its size."""
 
     def __init__(self, bpe: WordBPE):
         super().__init__()
         self.bpe = bpe
-        self.old: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, str] = {}
 
     def age(self) -> None:
         self.old = dict(self)
@@ -224,7 +231,7 @@ class _Chunks(dict):
         self.old = {}
         self.clear()
 
-    def __missing__(self, chunk: str) -> tuple[str, str]:
+    def __missing__(self, chunk: str) -> str:
         got = self.old.get(chunk)
         if got is None:
             bpe = self.bpe
@@ -232,8 +239,7 @@ class _Chunks(dict):
             if len(parts) == 1:
                 got = bpe._encoded_piece(parts[0])
             else:
-                parts = [self[p] for p in parts]
-                got = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+                got = " ".join([self[p] for p in parts])
         self[chunk] = got
         return got
 
@@ -265,7 +271,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
 
     def run(batches):
         bpe = loaded(vocabulary)
-        bpe._chunks.forget()  # a worker that is used again starts small
+        bpe.forget()  # a worker that is used again starts small
         for batch in batches:
             n, rows, decoded, sha_ids, sha_text = [], [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
@@ -290,7 +296,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
                 out += [pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
                 names += ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(out, names=names)
-        bpe._chunks.forget()
+        bpe.forget()
 
     return src.mapInArrow(tidy(run, 500), ddl)
 

@@ -230,7 +230,7 @@ def contaminated(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
-    out = spark.createDataFrame([], schema)
+    out = spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in map(str.split, schema.split(", "))])  # a list, even an empty one, would be read by Python workers of its own
     for index in item_groups(benchmark, item_id, item_text, k):
         shared = spark.sparkContext.broadcast(index)
 

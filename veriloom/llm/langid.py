@@ -11,6 +11,7 @@ batch of texts is scored by one matrix product.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.workspace import tidy
+from veriloom.llm.workspace import release, tidy
 
 BINS = 1 << 16
 ORDERS = 3
@@ -57,6 +58,15 @@ class Model:
     weights: np.ndarray  # (BINS, languages + 1); the last column counts bins
     bias: np.ndarray
 
+    def named(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text; ``und`` and 0 without a letter."""
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        at = [i for i, t in enumerate(texts) if has_letter(t)]
+        if at:
+            for i, name, s in zip(at, *self.scores([texts[i] for i in at]), strict=True):
+                names[i], scores[i] = name, s
+        return names, scores
+
     def scores(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, best = [], []
         x = np.zeros((_ROWS, BINS), dtype=np.float32)
@@ -128,7 +138,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     h = F.xxhash64(F.col("doc_id").cast("string")).alias("h")
     part = (F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6).alias("part")
     often = max(1.25 * per_language, per_language + 20.0)  # a small share may not come out as none
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, often / r["count"])) for r in counts], "lang string, rate double")
+    rates = docs.sparkSession.createDataFrame(pa.table({"lang": [r["lang"] for r in counts], "rate": [min(1.0, often / r["count"]) for r in counts]}))  # from Arrow: a list would be read by Python workers of its own
     picked = own.join(F.broadcast(rates), "lang").filter(part < F.col("rate")).select(h, "lang", "text")
     rows = sorted(picked.mapInArrow(tidy(_bins, 500), "h long, lang string, bins binary").collect(), key=lambda r: (r["h"], r["lang"], bytes(r["bins"])))
     taken: dict[str, int] = {}
@@ -162,22 +172,33 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
         m = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            at = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
-            if at:
-                for i, name, s in zip(at, *m.scores([texts[i] for i in at]), strict=True):
-                    names[i], scores[i] = name, s
+            names, scores = m.named(texts) if m is not None else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
 
     return src.mapInArrow(tidy(run, 500), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double")
 
 
 def reject_unidentified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without texts of no language (``und``) or of a score under ``least``; columns stay."""
-    columns = [c for c in docs.columns]
-    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
-    at = {c: f"_c{i}" for i, c in enumerate(columns)}
+    """``docs`` without texts of no language (``und``) or of a score under ``least``; columns stay.
+
+    Only texts go to the Python workers and only the answer comes back; rows
+    wait in the memory of the JVM, so that no text is held in Arrow twice.
+    """
     model = fit(docs)
-    out = identify(named, model or Model(["und"], np.zeros((BINS, 2), dtype=np.float32), np.zeros(1, dtype=np.float32)), id_col=at["doc_id"], text_col=at["text"], keep=tuple(at.values()))
-    kept = out.filter("lang_pred <> 'und' and score >= %r" % least) if model else out.filter(F.col(at["text"]).rlike(r"\p{L}"))
-    return kept.select(*[F.col("doc_id" if c == "doc_id" else x).alias(c) for c, x in at.items()])
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x (languages + 1) floats
+
+    @F.arrow_udf("boolean")
+    def identified(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        try:
+            for own in columns:
+                out: list[bool] = []
+                for at in range(0, len(own), 500):
+                    out += [name != "und" and score >= least for name, score in zip(*m.named(own.slice(at, 500).to_pylist()), strict=True)]
+                yield pa.array(out, pa.bool_())
+        finally:
+            release()
+
+    return docs.filter(identified(F.col("text").cast("string")))
