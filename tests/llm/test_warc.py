@@ -1,4 +1,7 @@
 import hashlib
+import html as unescaping
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -56,3 +59,20 @@ def test_digests_of_the_source_stay(spark):
     r, q = rows["<r>", "metadata"], rows["<q>", "conversion"]
     assert (r._Block, r._text, r["a.b"], r.source_block_digest, r.source_payload_digest) == (1, 2, 3, "sha1:AB", "md5:cd") and "source-payload-digest: md5:cd\r\n" in r.block
     assert q.source_payload_digest == "sha256:" + hashlib.sha256(b"x").hexdigest() and q.source_block_digest == "sha256:" + hashlib.sha256(b"H\r\n\r\nx").hexdigest()
+
+
+def test_white_space_is_collapsed_as_the_patterns_do_without_a_pass_for_each(spark):
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\r", "\r\n", "\t", "\f", "\v", "\u00a0", "&nbsp;", "&#13;", "&#10;", "&am", "p;", "&", "a", "b\u2003", "\x85", "\x1c", "<br>", "<\nb>", "<b\n\nc='d'>"]
+    pages = [(i, "".join(rng.choices(parts, k=rng.randrange(30)))) for i in range(1500)]
+
+    def expected(t):
+        t = re.sub(r"[\r\n]+", " ", t)
+        t = re.sub(warc.TAGS, "", re.sub(warc.BREAKS, "\n", t))
+        t = unescaping.unescape(t).replace("\u00a0", " ")
+        return re.sub(warc.LINE_ENDS, "\n", re.sub(warc.SPACES, " ", t)).strip(" \n")
+
+    out = spark.createDataFrame(pages, "i int, html string").select("i", warc.page_text(F.col("html")).alias("text"))
+    assert {r.i: r.text for r in out.collect()} == {i: expected(t) for i, t in pages}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == len(warc.HIDDEN) + 2 and "translate" not in plan

@@ -4,8 +4,8 @@ Both derivatives refer to the response by its record id, target and date, and
 carry its digests: those that the source states, and ``sha256:`` in lower-case
 hex where it states none. The metadata record lists what is known about the page
 and every header of the source; the conversion record is the page as plain text.
-One pass, no shuffle; character references are decoded in Arrow batches, all
-else is expressions on columns. Derived record ids are built from
+One pass, no shuffle; character references are decoded in Arrow batches, where
+the white space of the text is collapsed too, all else is expressions on columns. Derived record ids are built from
 the digest of the response's id and the kind of the derivative, so the same
 input always gives the same records.
 """
@@ -65,6 +65,21 @@ def decoded(text: pd.Series) -> pd.Series:
     return pd.Series([_html.unescape(t) if isinstance(t, str) else None for t in text], dtype=object)
 
 
+def plain(text: str) -> str:
+    """Text with character references decoded and white space collapsed: what ``SPACES`` and ``LINE_ENDS`` do, without a pass of expressions for each."""
+    text = _html.unescape(text)
+    for space in "\u00a0\t\r\f\v":
+        text = text.replace(space, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return "\n".join([own for line in text.split("\n") if (own := line.strip(" "))])
+
+
+@F.pandas_udf(T.StringType())
+def plain_text(text: pd.Series) -> pd.Series:
+    return pd.Series([plain(t) if isinstance(t, str) else None for t in text], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def decoded_links(links: pd.Series) -> pd.Series:
     return pd.Series([None if own is None else [link(x) for x in own] for own in links], dtype=object)
@@ -75,13 +90,9 @@ def page_text(html: Column) -> Column:
     out = html
     for pattern in HIDDEN:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(""))
-    out = F.regexp_replace(out, F.lit("[\\r\\n]+"), F.lit(" "))
+    out = F.replace(F.replace(out, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))  # runs of spaces become one below
     out = F.regexp_replace(out, F.lit(BREAKS), F.lit("\n"))
-    out = F.regexp_replace(out, F.lit(TAGS), F.lit(""))
-    out = F.translate(decoded(out), "\u00a0", " ")
-    out = F.regexp_replace(out, F.lit(SPACES.replace("\\v", "\\x0B")), F.lit(" "))
-    out = F.regexp_replace(out, F.lit(LINE_ENDS), F.lit("\n"))
-    return F.trim(out, F.lit(" \n"))
+    return plain_text(F.regexp_replace(out, F.lit(TAGS), F.lit("")))
 
 
 def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
