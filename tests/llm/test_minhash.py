@@ -122,3 +122,30 @@ def test_texts_without_candidates_are_not_moved(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(got) == rows[:150]
+
+
+def test_small_graphs_take_few_tasks_and_stars_no_round(spark, monkeypatch):
+    """Whatever the number of shuffle partitions: a round's tables are dealt by their rows."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    made, save = [], Workspace.save
+
+    def noted(self, df, name="t"):
+        out = save(self, df, name)
+        made.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(Workspace, "save", noted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        ws = Workspace(spark, "test")
+        star = spark.range(1, 500).selectExpr("id AS u", "0L AS v")
+        assert {tuple(r) for r in connected_components(star, ws).collect()} == {(i, 0) for i in range(1, 500)}
+        assert [n for n, _ in made] == ["forest", "low"]
+        chain = spark.range(1, 3000).selectExpr("id AS u", "id - 1 AS v").repartition(32)
+        assert {tuple(r) for r in connected_components(chain, ws).collect()} == {(i, 0) for i in range(1, 3000)}
+        assert max(files for name, files in made if name != "forest") <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
